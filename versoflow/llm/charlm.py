@@ -176,8 +176,9 @@ class NaiveBayes:
 class TokenScores:
     """Vectors of tokens by id, computed once per distinct token. ``limit`` bounds the memory of the cache."""
 
-    def __init__(self, model: KneserNey | NaiveBayes, limit: int = 400_000) -> None:
+    def __init__(self, model: KneserNey | NaiveBayes, limit: int = 400_000, pattern=None) -> None:
         self.model, self.limit = model, limit
+        self.pattern = {} if pattern is None else {"pattern": pattern}
         self._empty()
 
     def _empty(self) -> None:
@@ -191,7 +192,7 @@ class TokenScores:
     def ids(self, texts: list[str | None]) -> np.ndarray:
         if len(self.vocabulary) > self.limit:
             self._empty()
-        ids = token_ids(texts, self.vocabulary)
+        ids = token_ids(texts, self.vocabulary, **self.pattern)
         self._fill()
         return ids
 
@@ -202,8 +203,9 @@ class TokenScores:
             self.scores, self.letters, self.script = grow(self.scores), grow(self.letters), grow(self.script)
         new = self.vocabulary.words[self.known - FIRST_WORD :]
         if new:
-            self.scores[self.known : size] = self.model.score(new)
-            self.letters[self.known : size] = [len(w) for w in new]
+            numbers = np.array([w[0].isdigit() for w in new])  # these say nothing about a language
+            self.scores[self.known : size] = np.where(numbers[:, None], 0.0, self.model.score(new))
+            self.letters[self.known : size] = np.where(numbers, 0, [len(w) for w in new])
             self.script[self.known : size] = script_class(np.array([ord(w[0]) for w in new]))
             self.known = size
 

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versoflow.llm import defects, langid, mixing, packing, splitting, truncation
+from versoflow.llm import alignment, defects, langid, mixing, packing, splitting, truncation
 
 
 def _read(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{d}/{n}.parquet") for n in names]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of the sentences of each row that render one another."""
+    return alignment.align(*_read(spark, d, "segments", "lang_samples", "glossary_batch"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """row_id and defect of every defective reply."""
     return defects.found(*_read(spark, d, "segments", "books", "lang_samples", "glossary_batch"))
@@ -79,7 +84,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p2_found, p2_defect_shares, p3_found, p3_pieces, p4_found, p4_by_service, p5_found, p5_languages,
+        p1_found, p2_found, p2_defect_shares, p3_found, p3_pieces, p4_found, p4_by_service, p5_found, p5_languages,
         p6_containers, p6_fill, p7_selection, p7_shares,
     )
 }

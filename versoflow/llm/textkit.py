@@ -30,6 +30,8 @@ _TOKEN = re.compile(
     rf"|[{_HAN}]{{1,2}}|[぀-ゟ]+|[゠-ヿｦ-ﾟ]+"
     rf"|[^\W\d_{_HAN}{_KANA}]+(?:['’][^\W\d_{_HAN}{_KANA}]+)*"
 )
+#: As _TOKEN, with numbers and with Han characters one by one: words to align by.
+WORD_PATTERN = re.compile(r"\d+(?:[.,\u202f\u00a0 ]\d{3})*(?!\d)|" + _TOKEN.pattern.replace(f"[{_HAN}]{{1,2}}", f"[{_HAN}]"))
 _KIND = {"\x00": DOC, "\r": LINE, "\n": LINE, "`": FENCE, "|": PIPE, "#": HASH} | dict.fromkeys(ENDS + WIDE_ENDS, STOP)
 
 
@@ -64,12 +66,12 @@ class Vocabulary(dict):
         return kind
 
 
-def token_ids(texts: list[str | None], vocabulary: Vocabulary) -> np.ndarray:
+def token_ids(texts: list[str | None], vocabulary: Vocabulary, pattern: re.Pattern = _TOKEN) -> np.ndarray:
     """Token ids of all texts in order, each text followed by one DOC."""
     joined = "\x00".join((t or "").replace("\x00", " ") for t in texts) + "\x00"
     if not joined.isascii():
         joined = unicodedata.normalize("NFC", joined)
-    found = _TOKEN.findall(joined.lower())
+    found = pattern.findall(joined.lower())
     return np.fromiter(map(vocabulary.__getitem__, found), dtype=np.int64, count=len(found))
 
 
@@ -99,3 +101,31 @@ class Sentences:
         """Sums over each sentence of a value per token; columns if there are several values."""
         total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
         return total[self.end] - total[self.start]
+
+
+#: What makes a piece of text leave a token.
+_HELD = re.compile(r"[^\W_]|[|#`]")
+
+
+def numbered_sentences(texts: list[str | None], s: Sentences) -> np.ndarray:
+    """Number of each token sentence by the counting rule, from 1 in each text; 0 for those without tokens.
+
+    A text's tokens fall into as many sentences as the rule counts, unless some hold only signs; those texts are
+    matched part by part.
+    """
+    has = s.end > s.start
+    docs = len(texts)
+    number = np.zeros(len(s.start), dtype=np.int64)
+    before = np.concatenate(([0], np.cumsum(has)))
+    first = np.searchsorted(s.doc, np.arange(docs + 1))
+    number[has] = (before[1:] - before[first[:-1]][s.doc])[has]
+    counted = before[first[1:]] - before[first[:-1]]
+    for d, text in enumerate(texts):
+        parts = sentences(text)
+        if len(parts) != counted[d]:
+            held = [i for i, p in enumerate(parts, 1) if _HELD.search(p)]
+            mine = np.flatnonzero(has[first[d] : first[d + 1]]) + first[d]
+            n = min(len(held), len(mine))
+            number[mine[:n]] = held[:n]
+            number[mine[n:]] = 0
+    return number
