@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versoflow.llm import alignment, defects, langid, mixing, packing, splitting, truncation
+from versoflow.llm import alignment, defects, langid, mixing, packing, splitting, subjects, truncation
 
 
 def _read(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -81,11 +81,21 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(mixing.mix(documents, targets), targets)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of every document."""
+    return subjects.found(*_read(spark, d, "documents", "subject_labels", "subjects"))
+
+
+def p8_subject_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each subject in the corpus, by documents and by sentences."""
+    return subjects.corpus_shares(*_read(spark, d, "documents", "subject_labels", "subjects"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p2_found, p2_defect_shares, p3_found, p3_pieces, p4_found, p4_by_service, p5_found, p5_languages,
-        p6_containers, p6_fill, p7_selection, p7_shares,
+        p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_subject_shares,
     )
 }
 
