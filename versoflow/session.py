@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +40,14 @@ def materialize(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="versoflow-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once a session: they need not have it installed or share our folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_versoflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="versoflow-ship-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "versoflow"), "zip", root, "versoflow"))
+    sc._versoflow_shipped = True
