@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from versoflow.plans import replies, segmenting, workflow
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**segmenting.QUERIES, **workflow.QUERIES, **replies.QUERIES}
+SQL: dict[str, str] = {**segmenting.SQL, **workflow.SQL, **replies.SQL}
