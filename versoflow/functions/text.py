@@ -108,8 +108,8 @@ def url_unquote(x: Column | str) -> Column:
 
 def toc_uid(title: Column | str, index: Column) -> Column:
     """Identifier from a title: words in lower case joined by underscores, at most 50 characters, and the index."""
-    kept = F.regexp_replace(_c(title), r"(?U)[^\w\s-]", "")
-    slug = F.left(F.lower(F.regexp_replace(strip(kept), r"(?U)[\s-]+", "_")), F.lit(50))
+    kept = F.regexp_replace(_c(title), r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\p{Z}-]", "")
+    slug = F.left(F.lower(F.regexp_replace(strip(kept), r"[\t-\r\x1c-\x20\x85\p{Z}-]+", "_")), F.lit(50))
     return F.when(F.coalesce(slug, F.lit("")) == "", F.concat(F.lit("toc_item_"), index.cast("string"))).otherwise(
         F.concat(F.lit("toc_"), slug, F.lit("_"), index.cast("string"))
     )
@@ -194,15 +194,3 @@ def last_segment_id(markdown: Column | str) -> Column:
     with_newer = F.size(F.regexp_extract_all(_c(markdown), F.lit(r"🔖 \*\*Segment (\d+)\*\*"), F.lit(1))) > 0
     with_older = F.size(F.regexp_extract_all(_c(markdown), F.lit(r"### Segment (\d+)"), F.lit(1))) > 0
     return F.when(with_newer, newer.cast("bigint")).when(with_older, older.cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
-
-
-def model_abilities(name: Column | str) -> Column:
-    """Coarse class of a model by its name."""
-    n = F.lower(_c(name))
-    return (
-        F.when(F.contains(n, F.lit("embedding")), "embedding")
-        .when(F.contains(n, F.lit("vision")) | F.contains(n, F.lit("image")), "vision")
-        .when(F.contains(n, F.lit("flash")) | F.contains(n, F.lit("lite")) | F.contains(n, F.lit("mini")), "fast text")
-        .when(F.contains(n, F.lit("pro")) | F.contains(n, F.lit("ultra")), "strong text")
-        .otherwise("text")
-    )

@@ -74,7 +74,7 @@ def chunk_units(units: DataFrame, max_chunk: int = MAX_CHUNK) -> DataFrame:
 def segments_from_units(units: DataFrame, chapters: DataFrame, max_chunk: int = MAX_CHUNK) -> DataFrame:
     """Segments: units joined by blank lines up to the chunk limit, never across a change of chapter.
 
-    Segment ids count from 0 in reading order; a segment's page is that of its last unit; the first segment behind a
+    Segment ids count from 0 in reading order; a segment's page is the last that its units name; the first segment behind a
     change of chapter is marked. Image units become segments of their own, with the default title and unmarked.
     """
     chunked = chunk_units(with_chapters(units, chapters), max_chunk)
@@ -85,7 +85,7 @@ def segments_from_units(units: DataFrame, chapters: DataFrame, max_chunk: int =
         F.lit("").alias("translated_text"),
         (F.bool_or("starts") & ~F.bool_or(image)).alias("is_new_chapter"),
         F.when(F.bool_or(image), DEFAULT_TITLE).otherwise(F.max_by("chapter_title", "pos")).alias("chapter_title"),
-        F.coalesce(F.max_by("page_index", "pos"), F.lit(0)).alias("page_index"),
+        F.coalesce(F.max_by("page_index", F.when(F.col("page_index").isNotNull(), F.col("pos"))), F.lit(0)).alias("page_index"),
         F.when(F.bool_or(image), 1).otherwise(F.max_by("toc_level", "pos")).alias("toc_level"),
         F.max_by("content_type", "pos").alias("content_type"),
         F.max(F.when(image, F.col("content"))).alias("image_path"),

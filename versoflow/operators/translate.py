@@ -49,11 +49,11 @@ class Upper(Identity):
 
 
 class Faulty(Upper):
-    """Upper case with the faults of real services, chosen by the first id of the batch: fences, cut replies, missing ids."""
+    """Upper case with the faults of real services, chosen by the first id and the size of the batch: fences, cut replies, missing ids."""
 
     def reply(self, request: dict) -> str:
         good, first = super().reply(request), request["items"][0]["id"]
-        kind = first % 5
+        kind = (first // 5 + len(request["items"])) % 5
         if kind == 1:
             return f"```json\n{good}\n```"
         if kind == 2:

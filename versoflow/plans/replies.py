@@ -142,20 +142,25 @@ def markdown_render(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HEADER = "starts_with({0}, '#')".format(strip_sql("s"))
-MARKDOWN_RENDER = f"""WITH modes_ AS (
-    SELECT doc_id, CASE WHEN bool_or(coalesce(is_new_chapter, false) AND coalesce(chapter_title, '') <> '') THEN 'normal' ELSE 'page_only' END AS mode FROM segments GROUP BY doc_id
-), parts AS (
-    SELECT s.*, mode, greatest(1, least(coalesce(nullif(toc_level, 0), 1), 5)) AS level, {_clean_sql('chapter_title')} AS title, {_clean_sql('translated_text')} AS body FROM segments s JOIN modes_ USING (doc_id)
-)
-SELECT row_id, md5(CASE WHEN content_type = 'image' THEN
+
+
+def _markdown_sql(table: str, breadcrumb: bool) -> str:
+    """Rows of a table with ``markdown``."""
+    mode = "'breadcrumb'" if breadcrumb else "CASE WHEN bool_or(coalesce(is_new_chapter, false) AND coalesce(chapter_title, '') <> '') THEN 'normal' ELSE 'page_only' END"
+    return f"""SELECT *, CASE WHEN content_type = 'image' THEN
     CASE WHEN coalesce(image_path, '') <> '' THEN chr(10) || chr(10) || '![Segment ' || segment_id || '](' || image_path || ')' || CASE WHEN NOT {blank_sql('translated_text')} THEN chr(10) || '> 💡 **图注/内容译文**' || chr(10) || '> ' || body ELSE '' END ELSE '' END
     || chr(10) || chr(10) || chr(10) || '---'
 ELSE
     CASE WHEN coalesce(is_new_chapter, false) AND coalesce(chapter_title, '') <> '' THEN
-        chr(10) || chr(10) || repeat('#', level + 1) || ' ' || CASE mode WHEN 'page_only' THEN '🔖' ELSE ['📚', '📖', '📄', '📝', '📌'][level] END || ' ' || title || chr(10) || chr(10)
+        chr(10) || chr(10) || repeat('#', level + 1) || ' ' || CASE mode WHEN 'breadcrumb' THEN '🧭' WHEN 'page_only' THEN '🔖' ELSE ['📚', '📖', '📄', '📝', '📌'][level] END || ' ' || title || chr(10) || chr(10)
     WHEN page_index IS NOT NULL AND NOT coalesce(is_new_chapter, false) THEN chr(10) || chr(10) || '###### --- 原文第 ' || (page_index + 1) || ' 页 --- ' || chr(10) || chr(10) ELSE '' END
     || array_to_string(list_transform(string_split(body, chr(10)), lambda s: CASE WHEN {blank_sql('s')} THEN '' WHEN {_HEADER} THEN chr(10) || s || chr(10) ELSE s END), chr(10)) || chr(10) || chr(10) || '---'
-END) AS md5 FROM parts"""
+END AS markdown FROM (
+    SELECT s.*, mode, greatest(1, least(coalesce(nullif(toc_level, 0), 1), 5)) AS level, {_clean_sql('chapter_title')} AS title, {_clean_sql('translated_text')} AS body
+    FROM {table} s JOIN (SELECT doc_id, {mode} AS mode FROM {table} GROUP BY doc_id) USING (doc_id))"""
+
+
+MARKDOWN_RENDER = f"SELECT row_id, md5(markdown) AS md5 FROM ({_markdown_sql('segments', False)})"
 
 
 def bilingual_paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +187,12 @@ def rendered_documents(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.char_length("markdown")).alias("n_chars"), F.max(F.col("part")).alias("last_part"))
 
 
+RENDERED_DOCUMENTS = f"""WITH {LATEST}, parts AS (
+    SELECT doc_id, segment_id AS part, length(markdown) AS n FROM ({_markdown_sql('latest', True)})
+    UNION ALL SELECT doc_id, -1, length('# ' || upper(file_name) || ' - ' || file_name || chr(10) || chr(10) || '---' || chr(10) || chr(10)) FROM books
+) SELECT doc_id, count(*) AS n_parts, CAST(sum(n) AS BIGINT) AS n_chars, max(part) AS last_part FROM parts GROUP BY doc_id"""
+
+
 def page_marks(spark: SparkSession, d: str) -> DataFrame:
     """Pages marked in the rendering of each row, and the rendering with marks taken out."""
     rows = R.render_segments(read(spark, d, "segments"), use_breadcrumb=False)
@@ -236,10 +247,13 @@ def html_refilled(spark: SparkSession, d: str) -> DataFrame:
 def stub_translate_e2e(spark: SparkSession, d: str) -> DataFrame:
     """Current segments through requests, a stub backend, parsing and joining back."""
     rows = status.latest_segments(read(spark, d, "segments"))
-    out = translate.translate(rows, translate.Upper(), 5)
+    out = translate.translate(rows, translate.Identity(), 5)
     return out.select("doc_id", "segment_id", F.md5("translated_text").alias("md5"), "route")
 
 
+STUB_TRANSLATE_E2E = f"WITH {LATEST} SELECT doc_id, segment_id, md5(CASE WHEN coalesce(original_text, '') = '' THEN '{T.EMPTY_RESPONSE}' ELSE original_text END) AS md5, 'strict' AS route FROM latest"
+
+
 def stub_faulty_e2e(spark: SparkSession, d: str) -> DataFrame:
     """The same with a backend that makes the mistakes of real ones: how replies were read."""
     rows = status.latest_segments(read(spark, d, "segments"))
@@ -254,7 +268,7 @@ def two_phase_e2e(spark: SparkSession, d: str) -> DataFrame:
     def extract(done: DataFrame) -> DataFrame:
         """Terms: words of the titles met, translated by the backend's rule."""
         words = done.select(F.explode(F.split(F.coalesce("chapter_title", F.lit("")), " ")).alias("term")).distinct()
-        return words.select(F.lit(0).alias("batch_id"), F.crc32("term").cast("int").alias("ord"), "term", F.upper("term").alias("translation"))
+        return words.select(F.lit(0).alias("batch_id"), (F.crc32("term") % 1000000).cast("int").alias("ord"), "term", F.upper("term").alias("translation"))
 
     out = translate.two_phase(rows, translate.Upper(), extract)
     return out.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.count_if(T.is_success("translated_text")).alias("n_success"))
@@ -268,6 +282,16 @@ def request_items(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "batch_id", "vision", F.array_join(F.transform("expected_ids", lambda x: x.cast("string")), ",").alias("ids"), F.md5("context").alias("context_md5"), F.char_length("glossary_text").alias("glossary_chars"))
 
 
+REQUEST_ITEMS = f"""WITH {LATEST}, before AS (
+    SELECT *, coalesce(lag(original_text) OVER (PARTITION BY doc_id ORDER BY segment_id, row_id), '') AS c,
+        CAST((row_number() OVER (PARTITION BY doc_id ORDER BY segment_id, row_id) - 1) // 5 + 1 AS BIGINT) AS batch_id FROM latest
+), terms AS (
+    SELECT {strip_sql('term')} AS term, {strip_sql('translation')} AS translation, batch_id, ord FROM glossary_batch WHERE NOT {blank_sql('term')} AND NOT {blank_sql('translation')}
+), lines AS (SELECT term, arg_max(translation, (batch_id, ord, translation)) AS translation FROM terms GROUP BY term
+), whole AS (SELECT CAST(sum(length('- **' || term || '**: ' || translation)) + count(*) - 1 AS INT) AS n FROM lines)
+SELECT doc_id, batch_id, bool_or(content_type = 'image') AS vision, string_agg(segment_id, ',' ORDER BY segment_id) AS ids,
+    md5(arg_min({strip_sql(f"right({strip_sql('c')}, 500)")}, segment_id)) AS context_md5, (SELECT n FROM whole) AS glossary_chars FROM before GROUP BY doc_id, batch_id"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -277,5 +301,6 @@ QUERIES = {
 }
 SQL = {
     "response_parse": RESPONSE_PARSE, "response_routes": RESPONSE_ROUTES, "glossary_reply_entries": GLOSSARY_REPLY_ENTRIES, "text_scalars": TEXT_SCALARS, "clean_text": CLEAN_TEXT,
+    "rendered_documents": RENDERED_DOCUMENTS, "stub_translate_e2e": STUB_TRANSLATE_E2E, "request_items": REQUEST_ITEMS,
     "markdown_render": MARKDOWN_RENDER, "bilingual_paragraphs": BILINGUAL_PARAGRAPHS, "page_marks_found": PAGE_MARKS,
 }

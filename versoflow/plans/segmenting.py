@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from versoflow.functions import text as T
 from versoflow.operators import context, ordered, segment, status, toc
-from versoflow.plans.common import LATEST, NOT_WS, blank_sql, read, strip_sql, translated_sql
+from versoflow.plans.common import LATEST, WS, blank_sql, read, strip_sql, translated_sql
 from versoflow.sources import pages
 
 
@@ -153,6 +153,10 @@ def toc_uids(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "toc_items").select("doc_id", "ord", T.toc_uid(F.coalesce("title", F.lit("")), F.col("ord")).alias("uid"))
 
 
+TOC_UIDS = f"""SELECT doc_id, ord, CASE WHEN slug = '' THEN 'toc_item_' || ord ELSE 'toc_' || slug || '_' || ord END AS uid FROM (
+    SELECT doc_id, ord, left(lower(regexp_replace({strip_sql(f"regexp_replace(coalesce(title, ''), '[^{chr(92)}p{{L}}{chr(92)}p{{N}}_{WS[1:-1]}-]', '', 'g')")}, '[{WS[1:-1]}-]+', '_', 'g')), 50) AS slug FROM toc_items)"""
+
+
 def page_range_scan(spark: SparkSession, d: str) -> DataFrame:
     """Rows of pages 2 to 6 only: the test reaches the scan."""
     return segment.in_page_range(read(spark, d, "segments"), (2, 6)).select("row_id", "doc_id", "page_index")
@@ -266,7 +270,7 @@ QUERIES = {
 }
 SQL = {
     "chunk_segments": CHUNK_SEGMENTS, "chapter_units": CHAPTER_UNITS, "chunk_segments_by_chapter": CHUNK_BY_CHAPTER, "toc_breadcrumbs": TOC_BREADCRUMBS,
-    "toc_chapter_map": TOC_CHAPTER_MAP, "toc_levels_kept": TOC_LEVELS_KEPT, "toc_spine_fallback": TOC_SPINE_FALLBACK, "page_range_scan": PAGE_RANGE_SCAN,
+    "toc_chapter_map": TOC_CHAPTER_MAP, "toc_levels_kept": TOC_LEVELS_KEPT, "toc_spine_fallback": TOC_SPINE_FALLBACK, "toc_uids": TOC_UIDS, "page_range_scan": PAGE_RANGE_SCAN,
     "text_units": TEXT_UNITS, "invalid_segments": INVALID_SEGMENTS, "prev_context": PREV_CONTEXT, "context_window3": CONTEXT_WINDOW3,
     "vision_running_context": VISION_RUNNING_CONTEXT, "batch_assignment": BATCH_ASSIGNMENT, "checkpoint_cadence": CHECKPOINT_CADENCE,
     "preamble_head": PREAMBLE_HEAD, "preamble_cleared": PREAMBLE_CLEARED, "running_lengths": RUNNING_LENGTHS,

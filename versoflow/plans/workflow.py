@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versoflow import config
 from versoflow.functions import text as T
 from versoflow.operators import cache, glossary, matching, status, titles
 from versoflow.plans.common import LATEST, WS, blank_sql, read, strip_sql, success_sql, translated_sql
@@ -159,13 +160,13 @@ WHERE coalesce(is_new_chapter, false) AND NOT {blank_sql('chapter_title')} AND N
 
 
 def title_backfill(spark: SparkSession, d: str) -> DataFrame:
-    """Rows with their titles translated (here into upper case)."""
+    """Rows with their titles translated (here: put in quotes)."""
     rows = read(spark, d, "segments")
-    done = titles.candidates(rows).select("title").distinct().select("title", F.upper("title").alias("translated_title"))
+    done = titles.candidates(rows).select("title").distinct().select("title", F.concat(F.lit("»"), "title", F.lit("«")).alias("translated_title"))
     return titles.backfill(rows, done).select("row_id", "chapter_title")
 
 
-TITLE_BACKFILL = f"""WITH t AS (SELECT DISTINCT chapter_title AS title, {strip_sql('upper(chapter_title)')} AS up FROM segments
+TITLE_BACKFILL = f"""WITH t AS (SELECT DISTINCT chapter_title AS title, '»' || chapter_title || '«' AS up FROM segments
     WHERE coalesce(is_new_chapter, false) AND NOT {blank_sql('chapter_title')} AND NOT regexp_matches(chapter_title, '[\\x{{4e00}}-\\x{{9fff}}]'))
 SELECT row_id, coalesce(up, chapter_title) AS chapter_title FROM segments LEFT JOIN t ON title = chapter_title"""
 
@@ -314,15 +315,37 @@ def book_modes(spark: SparkSession, d: str) -> DataFrame:
 
 BOOK_MODES = "SELECT b.doc_id, coalesce(m.name, f.name) AS mode_name, coalesce(m.style, f.style) AS style FROM books b LEFT JOIN modes m USING (mode_id), (SELECT * FROM modes ORDER BY mode_id LIMIT 1) f"
 
+def service_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Books by service, and the batch size that the service's requests hold."""
+    rows = read(spark, d, "books").groupBy("service").agg(F.count("*").alias("n_books"))
+    sizes = F.create_map(*[F.lit(x) for k in config.SERVICE_LIMITS for x in (k, config.safe_batch_size(5, 2000, k))])
+    kind = F.when(F.col("service") == "gemini", "gemini").when(F.col("service").isin("openai", "deepseek"), "openai").otherwise("other")
+    return rows.select("service", "n_books", F.try_element_at(sizes, kind).alias("batch_size"))
+
+
+SERVICE_SETTINGS = "SELECT service, count(*) AS n_books, CASE WHEN service = 'gemini' THEN 4 WHEN service IN ('openai', 'deepseek') THEN 3 ELSE 5 END AS batch_size FROM books GROUP BY service"
+
+
+def last_rendered_segment(spark: SparkSession, d: str) -> DataFrame:
+    """The last segment that a book's rendering with marks has: where to go on."""
+    rows = status.latest_segments(read(spark, d, "segments")).select("doc_id", "segment_id")
+    # the mark of one segment a row: a book's rendering is never gathered
+    marked = rows.withColumn("markdown", F.concat(F.lit("text\n🔖 **Segment "), F.col("segment_id").cast("string"), F.lit("**\nmore")))
+    return marked.groupBy("doc_id").agg(F.max(T.last_segment_id("markdown")).alias("last_segment"))
+
+
+LAST_RENDERED_SEGMENT = "SELECT doc_id, max(segment_id) AS last_segment FROM segments GROUP BY doc_id"
+
 QUERIES = {
     f.__name__: f
     for f in (
-        translated_progress, checkpoint_progress, pending_segments, current_segments, recorded_failures, resumed_checkpoints, blocked_log_appended,
+        service_settings, last_rendered_segment, translated_progress, checkpoint_progress, pending_segments, current_segments, recorded_failures, resumed_checkpoints, blocked_log_appended,
         glossary_last_wins, glossary_saturation, glossary_prompt, glossary_preview, extraction_texts, ordered_distinct_titles, title_backfill,
         translation_map, exact_match, fuzzy_match, cache_ttl_active, cache_stats_rollup, cache_lookup, cache_to_create, cache_keys, valid_modes, book_modes,
     )
 }
 SQL = {
+    "service_settings": SERVICE_SETTINGS, "last_rendered_segment": LAST_RENDERED_SEGMENT,
     "translated_progress": TRANSLATED_PROGRESS, "checkpoint_progress": CHECKPOINT_PROGRESS, "pending_segments": PENDING_SEGMENTS, "current_segments": CURRENT_SEGMENTS,
     "recorded_failures": RECORDED_FAILURES, "resumed_checkpoints": RESUMED_CHECKPOINTS, "blocked_log_appended": BLOCKED_LOG_APPENDED, "glossary_last_wins": GLOSSARY_LAST_WINS,
     "glossary_saturation": GLOSSARY_SATURATION, "glossary_prompt": GLOSSARY_PROMPT, "glossary_preview": GLOSSARY_PREVIEW, "extraction_texts": EXTRACTION_TEXTS,
