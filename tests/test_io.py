@@ -162,9 +162,9 @@ def test_stream_resumes(spark, tmp_path):
     src, out, at = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "at")
     _rows(spark, 3).write.parquet(src)
     stream = lambda: spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    resume.translate_stream(stream(), translate.Upper(), out, at, 2).awaitTermination()
+    resume.translate_stream(stream(), translate.Upper(), out, at, 2).awaitTermination(60)
     _rows(spark, 5).where("segment_id > 2").write.mode("append").parquet(src)
-    resume.translate_stream(stream(), translate.Upper(), out, at, 2).awaitTermination()
+    resume.translate_stream(stream(), translate.Upper(), out, at, 2).awaitTermination(60)
     got = resume.current_status(spark.read.parquet(out))
     assert {(r.segment_id, r.translated_text) for r in got.collect()} == {(k, f"TEXT {k}") for k in range(5)}
 
@@ -174,7 +174,8 @@ def test_ttl_stream(spark, tmp_path):
     rows = [("h", "n1", "2024-01-01 00:00:00"), ("h", "n2", "2024-01-01 00:00:30"), ("h", "n3", "2024-01-01 00:02:00"), ("g", "m1", "2024-01-01 00:00:00")]
     spark.createDataFrame(rows, "content_hash string, cache_name string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(src)
     stream = ttl.cache_hits(spark.readStream.schema("content_hash string, cache_name string, ts timestamp").parquet(src), 60)
-    q = stream.writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = stream.writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(20)
+    q.stop()
     got = {(r.content_hash, r.cache_name, r.hit) for r in spark.table("hits").collect()}
     assert got == {("h", "n1", False), ("h", "n1", True), ("h", "n3", False), ("g", "m1", False)}

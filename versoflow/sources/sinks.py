@@ -23,7 +23,9 @@ def markdown_parts(segments: DataFrame, titles: DataFrame, **how) -> DataFrame:
 def write_markdown(parts: DataFrame, folder: str) -> None:
     """One folder a document, its parts in reading order as text files; no document's text meets in one row."""
     ordered = parts.repartitionByRange("doc_id", "part").sortWithinPartitions("doc_id", "part")
-    ordered.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_id").option("lineSep", "").text(folder)
+    # parts are divided by the line end that the next one begins with
+    value = F.when((F.col("part") >= 0) & F.startswith("markdown", F.lit("\n")), F.expr("substring(markdown, 2)")).otherwise(F.col("markdown"))
+    ordered.select("doc_id", value.alias("value")).write.mode("overwrite").partitionBy("doc_id").text(folder)
 
 
 def write_new_epubs(htmls: DataFrame, folder: str) -> None:
