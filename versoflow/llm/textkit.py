@@ -104,7 +104,7 @@ class Sentences:
 
 
 #: What makes a piece of text leave a token.
-_HELD = re.compile(r"[^\W_]|[|#`]")
+_HELD = re.compile(r"[^\W_]|[|#]|```")
 
 
 def numbered_sentences(texts: list[str | None], s: Sentences) -> np.ndarray:
@@ -116,6 +116,8 @@ def numbered_sentences(texts: list[str | None], s: Sentences) -> np.ndarray:
     has = s.end > s.start
     docs = len(texts)
     number = np.zeros(len(s.start), dtype=np.int64)
+    if not docs:
+        return number
     before = np.concatenate(([0], np.cumsum(has)))
     first = np.searchsorted(s.doc, np.arange(docs + 1))
     number[has] = (before[1:] - before[first[:-1]][s.doc])[has]
