@@ -65,15 +65,12 @@ def translation_only(text: Column | str) -> Column:
 def bilingual(original: Column | str, translated: Column | str) -> Column:
     """Paragraphs of translation and original side by side by place, a rule behind those that have both."""
     o, t = paragraphs(clean_text(original)), paragraphs(clean_text(translated))
-    n = F.greatest(F.size(o), F.size(t))
-
     def lines(p: Column) -> Column:
         each = F.transform(F.split(p, "\n"), lambda s, j: F.when(is_blank(s), None).when(is_heading_line(s), F.concat(F.lit("\n"), s, F.lit("\n"))).when(
             j == 0, F.concat(F.lit('<span class="translated">'), s, F.lit("</span>"))).otherwise(F.concat(F.lit("      "), s)))
         return F.filter(each, lambda s: s.isNotNull())
 
-    def block(k: Column) -> Column:
-        a, b = F.get(t, k), F.get(o, k)
+    def block(b: Column, a: Column) -> Column:
         none = F.array().cast("array<string>")
         parts = F.concat(
             F.when(a.isNotNull(), lines(F.coalesce(a, F.lit("")))).otherwise(none),
@@ -82,7 +79,8 @@ def bilingual(original: Column | str, translated: Column | str) -> Column:
         )
         return F.concat(F.array_join(parts, "\n"), F.lit("\n"))
 
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), block), "")).otherwise("")
+    # the shorter side is padded with nulls; both lists are computed once, not once a paragraph
+    return F.array_join(F.zip_with(o, t, block), "")
 
 
 def image_block() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versoflow.functions.text import SPACE, has_cjk, is_blank, normalize, paragraphs, similarity, strip
+from versoflow.session import materialize
 
 #: Least similarity of a fuzzy match, exclusive, and least length of both texts.
 LIKE, LEAST = 0.85, 10
@@ -61,8 +62,9 @@ def fuzzy_match(blocks: DataFrame, mapping: DataFrame, id_column: str, text: str
     which the prefix of one word more on either side covers. Candidates meet by token, never all against all; tokens
     that are in a large part of all texts are in no prefix unless texts have nothing rarer.
     """
-    left = blocks.select(F.col(id_column).alias("__id"), normalize(text).alias("a")).where(F.char_length("a") >= LEAST)
-    right = mapping.select("key", "translation", "at").where(F.char_length("key") >= LEAST)
+    # both sides are read for rarity, for prefixes and for scores: they are written once
+    left = materialize(blocks.select(F.col(id_column).alias("__id"), normalize(text).alias("a")).where(F.char_length("a") >= LEAST))
+    right = materialize(mapping.select("key", "translation", "at").where(F.char_length("key") >= LEAST))
     sides = left.select(F.col("a").alias("s")).unionByName(right.select(F.col("key").alias("s"))).distinct()
     rarity = sides.select(F.explode(_tokens(F.col("s"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 

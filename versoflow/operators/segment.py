@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from versoflow.functions.text import is_blank
 from versoflow.operators.ordered import forward_fill, preceding, running_sum
 from versoflow.operators.toc import DEFAULT_TITLE
+from versoflow.session import materialize
 
 MAX_CHUNK = 2000
 
@@ -31,9 +32,18 @@ def with_chapters(units: DataFrame, chapters: DataFrame, default_title: str = DE
     do. ``section`` counts the changes of chapter in the document, ``starts`` is true where one happens.
     """
     units = units.where((F.col("content_type") == "image") | ~is_blank("content"))
+    return units.join(_sections(units, chapters, default_title).drop("n", "image"), ["doc_id", "pos"])
+
+
+def _sections(units: DataFrame, chapters: DataFrame, default_title: str = DEFAULT_TITLE) -> DataFrame:
+    """doc_id, pos, n (characters), image, chapter_title, toc_level, starts, section.
+
+    The order-dependent steps read their input more than once, so they run on these narrow columns, written once.
+    """
     known = chapters.select(F.col("doc_id").alias("__d"), F.col("key").alias("__key"), F.col("title").alias("found_title"), F.col("level").alias("found_level"))
-    looked = units.join(known, (units.doc_id == known["__d"]) & (units.unit_key == known["__key"]) & (units.content_type == "text"), "left").drop("__d", "__key")
-    filled = forward_fill(looked, "doc_id", "pos", ["found_title", "found_level"])
+    looked = units.join(known, (units.doc_id == known["__d"]) & (units.unit_key == known["__key"]) & (units.content_type == "text"), "left")
+    slim = looked.select("doc_id", "pos", F.char_length("content").alias("n"), (F.col("content_type") == "image").alias("image"), "found_title", "found_level")
+    filled = forward_fill(materialize(slim), "doc_id", "pos", ["found_title", "found_level"])
     filled = filled.withColumn("chapter_title", F.coalesce("found_title", F.lit(default_title))).withColumn("toc_level", F.coalesce("found_level", F.lit(1)))
     before = preceding(filled, "doc_id", "pos", F.col("chapter_title"), 1, "__before")
     starts = F.col("chapter_title") != F.coalesce(F.get("__before", F.lit(0)), F.lit(default_title))
@@ -54,21 +64,19 @@ def _fold(lengths: list[int], sections: list[int], images: list[bool], most: int
     return out
 
 
-def chunk_units(units: DataFrame, max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """``chunk`` of each unit (doc_id, pos, content, content_type, section).
+def _chunks(sections: DataFrame, max_chunk: int) -> DataFrame:
+    """``chunk`` of each unit (doc_id, pos, n, image, section and what else it has).
 
-    The fold needs a document's units in order, but only their lengths: 17 bytes a unit go to the fold, and the texts
-    stay where they are until the chunk numbers are joined back.
+    The fold needs a document's units in order, but only their lengths and sections: the texts stay where they are.
     """
-    slim = units.select("doc_id", "pos", F.char_length("content").alias("n"), F.coalesce("section", F.lit(0)).alias("section"), (F.col("content_type") == "image").alias("image"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
-        pdf["chunk"] = _fold(pdf["n"].fillna(0).astype(int).tolist(), pdf["section"].tolist(), pdf["image"].tolist(), max_chunk)
-        return pdf[["doc_id", "pos", "chunk"]]
+        pdf["chunk"] = _fold(pdf["n"].fillna(0).astype(int).tolist(), pdf["section"].tolist(), pdf["image"].fillna(False).tolist(), max_chunk)
+        return pdf
 
-    numbers = slim.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, pos bigint, chunk bigint")
-    return units.join(numbers, ["doc_id", "pos"])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sections.schema)
+    return sections.groupBy("doc_id").applyInPandas(fold, kinds + ", chunk bigint")
 
 
 def segments_from_units(units: DataFrame, chapters: DataFrame, max_chunk: int = MAX_CHUNK) -> DataFrame:
@@ -77,7 +85,8 @@ def segments_from_units(units: DataFrame, chapters: DataFrame, max_chunk: int =
     Segment ids count from 0 in reading order; a segment's page is the last that its units name; the first segment behind a
     change of chapter is marked. Image units become segments of their own, with the default title and unmarked.
     """
-    chunked = chunk_units(with_chapters(units, chapters), max_chunk)
+    units = units.where((F.col("content_type") == "image") | ~is_blank("content"))
+    chunked = units.join(_chunks(_sections(units, chapters), max_chunk), ["doc_id", "pos"])
     image = F.col("content_type") == "image"
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~image, F.struct("pos", "content")))), lambda u: u["content"]), "\n\n")
     return chunked.groupBy("doc_id", F.col("chunk").alias("segment_id")).agg(
