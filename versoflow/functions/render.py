@@ -154,3 +154,29 @@ def chapters_of(html: Column | str) -> Column:
 
     found = F.transform(parts, lambda p, k: F.struct(title(p, k).alias("title"), p.alias("html")))
     return F.when(F.size(parts) > 0, found).otherwise(F.array(F.struct(F.lit(WHOLE).alias("title"), _c(html).alias("html"))))
+
+
+def html_page(body: Column | str, translated_title: Column | str, original_title: Column | str, css: str = "") -> Column:
+    """A whole HTML page: titles in its head and above its body."""
+    head = F.concat(escape_html(translated_title), F.lit(" - "), escape_html(original_title))
+    return F.concat(
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"/><title>'), head, F.lit("</title><style>" + css + "</style></head><body><header>"), head, F.lit("</header>"), _c(body), F.lit("</body></html>")
+    )
+
+
+def wrapped_parts(html: Column | str, pages: Column, chapters: Column, page_markers: bool = True) -> Column:
+    """HTML cut at its rules, each part with paragraphs wrapped with the page and chapter of its place among them.
+
+    ``pages`` and ``chapters`` are arrays, one entry a part with paragraphs; parts without entries get none.
+    """
+    rule = r"<hr\s*/?>"
+    parts, rules = F.split(_c(html), rule), F.regexp_extract_all(_c(html), F.lit(rule), F.lit(0))
+    holds = lambda p: p.rlike(r"(?s)<p[^>]*>.*?</p>")
+    start = F.named_struct(F.lit("n"), F.lit(0), F.lit("out"), F.array().cast("array<string>"))
+
+    def step(acc: Column, p: Column) -> Column:
+        mine = content_block(p, F.get(pages, acc["n"]), F.get(chapters, acc["n"]), page_markers)
+        return F.named_struct(F.lit("n"), acc["n"] + holds(p).cast("int"), F.lit("out"), F.concat(acc["out"], F.array(mine)))
+
+    wrapped = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.array_join(F.zip_with(wrapped, rules, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versoflow.functions.text import MISSING_IN_RESPONSE, MISSING_TRANSLATION, PARSE_ERROR, strip_code_fence, unescape
+from versoflow.functions.text import MISSING_IN_RESPONSE, MISSING_TRANSLATION, PARSE_ERROR, strip, strip_code_fence, unescape
 
 # The patterns of (id, translation) pairs, from strict to loose.
 PAIR_PATTERNS = (
@@ -102,3 +102,27 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     got = F.when(F.size(mine) > 0, F.element_at(mine, -1)["translation"])
     missing = F.when(F.col("route") == "strict", MISSING_TRANSLATION).when(F.col("route") == "fallback", MISSING_IN_RESPONSE).otherwise(PARSE_ERROR)
     return held.select("doc_id", "batch_id", "segment_id", F.coalesce(got, missing).alias("translation"), "route")
+
+
+def flat_entries(raw: Column) -> Column:
+    """Array of (k, v) from a reply of entries in any of the usual shapes, stripped, without blank keys and values.
+
+    A dictionary of texts, a list of dictionaries (their ``id`` left out), or a list of pairs; if it isn't JSON, what
+    patterns find. Of a key given twice both entries are kept, in order: the caller takes the last.
+    """
+    inner = strip(strip_code_fence(raw))
+    pair = "array<struct<k:string,v:string>>"
+    none = F.array().cast(pair)
+
+    def of_map(m: Column) -> Column:
+        return F.transform(F.map_entries(m), lambda e: F.named_struct(F.lit("k"), e["key"], F.lit("v"), e["value"]))
+
+    valid = F.try_parse_json(inner).isNotNull()
+    one = of_map(F.from_json(F.when(valid & F.startswith(inner, F.lit("{")), inner), "map<string,string>"))
+    maps = F.from_json(F.when(valid & inner.rlike(r"^\[\s*\{"), inner), "array<map<string,string>>")
+    many = F.flatten(F.transform(maps, of_map))
+    lists = F.from_json(F.when(valid & inner.rlike(r"^\[\s*\["), inner), "array<array<string>>")
+    pairs = F.transform(F.filter(lists, lambda x: F.size(x) >= 2), lambda x: F.named_struct(F.lit("k"), x[0], F.lit("v"), x[1]))
+    found = F.coalesce(one, many, pairs, F.when(~valid, fallback_entries(raw)), none)
+    clean = F.transform(found, lambda e: F.named_struct(F.lit("k"), strip(e["k"]), F.lit("v"), strip(e["v"])))
+    return F.filter(clean, lambda e: (F.coalesce(e["k"], F.lit("")) != "") & (F.coalesce(e["v"], F.lit("")) != "") & (F.lower(e["k"]) != "id"))

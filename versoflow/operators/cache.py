@@ -56,3 +56,12 @@ def register(entries: DataFrame, new: DataFrame) -> DataFrame:
     names = both.columns
     best = F.max_by(F.struct(*names), F.struct("created_at", "cache_name")).alias("e")
     return both.groupBy("type", "key").agg(best).select(*[F.col(f"e.{n}").alias(n) for n in names])
+
+
+def glossary_hash(glossary: DataFrame) -> DataFrame:
+    """One row: a hash of a glossary that doesn't depend on the order of its entries.
+
+    Every entry is hashed where it is; the small hashes alone are brought together in order.
+    """
+    each = glossary.select(F.md5(F.to_json(F.struct("term", "translation"))).alias("h"))
+    return each.agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("content_hash"), F.count("*").alias("n_terms"))

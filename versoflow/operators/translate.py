@@ -135,3 +135,19 @@ def two_phase(segments: DataFrame, backend: Backend, extract: Callable[[DataFram
     head = translate(preamble(segments, ratio), backend, batch_size)
     glossary = materialize(merged(extract(head)))
     return translate(segments, backend, batch_size, glossary)
+
+
+def run_counters(results: DataFrame, seconds: float) -> DataFrame:
+    """One row: segments processed, successful, batches, and segments a second."""
+    from versoflow.functions.text import is_success
+
+    return results.agg(
+        F.count("*").alias("processed"), F.count_if(is_success("translated_text")).alias("success"), (F.count("*") / F.lit(max(seconds, 1e-9))).alias("per_second")
+    )
+
+
+def prompt_lengths(requests_: DataFrame) -> DataFrame:
+    """doc_id, batch_id, characters of each request's whole prompt."""
+    from versoflow.functions.prompts import text_prompt
+
+    return requests_.select("doc_id", "batch_id", F.char_length(text_prompt("context", "items", "glossary_text")).alias("n_chars"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoflow.functions import html as H
+from versoflow.functions import prompts as P
 from versoflow.functions import render as R
 from versoflow.functions import repair as J
 from versoflow.functions import text as T
@@ -98,6 +99,43 @@ def glossary_reply_entries(spark: SparkSession, d: str) -> DataFrame:
 GLOSSARY_REPLY_ENTRIES = "SELECT batch_id, term, count(*) AS n FROM glossary_batch WHERE term IS NOT NULL AND translation IS NOT NULL AND term <> '' AND NOT lower(term) IN ('id', 'type', 'status', 'error') GROUP BY batch_id, term"
 
 
+def glossary_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of glossary replies in three shapes by batch: a dictionary, a list of dictionaries, a list of pairs."""
+    plain = lambda c: ~F.contains(c, F.lit('"')) & ~F.contains(c, F.lit("\\"))
+    rows = read(spark, d, "glossary_batch").where(plain(F.col("term")) & plain(F.col("translation")))
+    each = F.array_sort(F.collect_list(F.struct("ord", "term", "translation")))
+    pair = lambda a, m, z: F.array_join(F.transform("r", lambda x: F.concat(F.lit(a), x["term"], F.lit(m), x["translation"], F.lit(z))), ", ")
+    kind = F.col("batch_id") % 3
+    each_once = rows.groupBy("batch_id", "term").agg(F.min(F.struct("ord", "translation")).alias("x")).select("batch_id", "term", "x.ord", "x.translation")
+    grouped = each_once.groupBy("batch_id").agg(each.alias("r"))
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("{"), pair('"', '": "', '"'), F.lit("}")))
+        .when(kind == 1, F.concat(F.lit("[{\"id\": \"1\"}, "), pair('{"', '": "', '"}'), F.lit("]")))
+        .otherwise(F.concat(F.lit("["), pair('["', '", "', '"]'), F.lit("]")))
+    )
+    found = grouped.select("batch_id", F.explode(J.flat_entries(raw)).alias("e"))
+    return found.select("batch_id", F.col("e.k").alias("term")).distinct()
+
+
+GLOSSARY_SHAPES = f"""SELECT DISTINCT batch_id, {strip_sql('term')} AS term FROM glossary_batch
+WHERE NOT {blank_sql('term')} AND NOT {blank_sql('translation')} AND NOT contains(term || translation, '"') AND NOT contains(term || translation, chr(92))"""
+
+
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of the whole prompt of every batch."""
+    rows = status.latest_segments(read(spark, d, "segments"))
+    return translate.prompt_lengths(translate.requests(rows, 5, glossary.merged(read(spark, d, "glossary_batch"))))
+
+
+def system_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """The system instruction of every mode."""
+    return read(spark, d, "modes").select("mode_id", F.md5(P.system_instruction("role_desc", "style")).alias("md5"))
+
+
+SYSTEM_INSTRUCTIONS = f"""SELECT mode_id, md5('{P.BASE}' || chr(10) || chr(10) || '{P.TEXT_FORM}' || CASE WHEN NOT {blank_sql('role_desc')} THEN chr(10) || chr(10) || 'Role: ' || {strip_sql('role_desc')} ELSE '' END
+    || CASE WHEN NOT {blank_sql('style')} THEN chr(10) || chr(10) || 'Style: ' || {strip_sql('style')} ELSE '' END) AS md5 FROM modes"""
+
+
 def text_scalars(spark: SparkSession, d: str) -> DataFrame:
     """The plain text functions over every row."""
     rows = read(spark, d, "segments")
@@ -295,12 +333,12 @@ SELECT doc_id, batch_id, bool_or(content_type = 'image') AS vision, string_agg(s
 QUERIES = {
     f.__name__: f
     for f in (
-        response_parse, response_routes, glossary_reply_entries, text_scalars, clean_text, markdown_render, bilingual_paragraphs, rendered_documents, page_marks,
+        response_parse, response_routes, glossary_reply_entries, glossary_shapes, prompts, system_instructions, text_scalars, clean_text, markdown_render, bilingual_paragraphs, rendered_documents, page_marks,
         page_marks_found, markdown_inline_html, html_blocks, html_text, html_chapters, html_refilled, stub_translate_e2e, stub_faulty_e2e, two_phase_e2e, request_items,
     )
 }
 SQL = {
-    "response_parse": RESPONSE_PARSE, "response_routes": RESPONSE_ROUTES, "glossary_reply_entries": GLOSSARY_REPLY_ENTRIES, "text_scalars": TEXT_SCALARS, "clean_text": CLEAN_TEXT,
+    "response_parse": RESPONSE_PARSE, "response_routes": RESPONSE_ROUTES, "glossary_reply_entries": GLOSSARY_REPLY_ENTRIES, "glossary_shapes": GLOSSARY_SHAPES, "system_instructions": SYSTEM_INSTRUCTIONS, "text_scalars": TEXT_SCALARS, "clean_text": CLEAN_TEXT,
     "rendered_documents": RENDERED_DOCUMENTS, "stub_translate_e2e": STUB_TRANSLATE_E2E, "request_items": REQUEST_ITEMS,
     "markdown_render": MARKDOWN_RENDER, "bilingual_paragraphs": BILINGUAL_PARAGRAPHS, "page_marks_found": PAGE_MARKS,
 }

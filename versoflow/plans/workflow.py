@@ -336,15 +336,36 @@ def last_rendered_segment(spark: SparkSession, d: str) -> DataFrame:
 
 LAST_RENDERED_SEGMENT = "SELECT doc_id, max(segment_id) AS last_segment FROM segments GROUP BY doc_id"
 
+def toc_titles_translated(spark: SparkSession, d: str) -> DataFrame:
+    """Contents titles with their translations, found by normalised text among the chapter titles (here: in quotes)."""
+    known = titles.candidates(read(spark, d, "segments")).select("title").distinct()
+    mapping = known.groupBy(T.normalize("title").alias("key")).agg(F.min(F.concat(F.lit("»"), "title", F.lit("«"))).alias("translation"))
+    items = read(spark, d, "toc_items").select("doc_id", "ord", F.col("title").alias("text"))
+    return matching.exact_match(items, mapping).select("doc_id", "ord", "translation")
+
+
+TOC_TITLES_TRANSLATED = f"""WITH t AS (SELECT {_NORM('chapter_title')} AS key, min('»' || chapter_title || '«') AS translation FROM segments
+    WHERE coalesce(is_new_chapter, false) AND NOT {blank_sql('chapter_title')} AND NOT regexp_matches(chapter_title, '[\\x{{4e00}}-\\x{{9fff}}]') GROUP BY 1)
+SELECT doc_id, ord, translation FROM toc_items LEFT JOIN t ON t.key = {_NORM('title')}"""
+
+
+def glossary_hash(spark: SparkSession, d: str) -> DataFrame:
+    """The hash under which a glossary is cached, whatever its order."""
+    return cache.glossary_hash(glossary.merged(read(spark, d, "glossary_batch"))).select("n_terms", F.char_length("content_hash").alias("n_hex"))
+
+
+GLOSSARY_HASH = f"SELECT count(DISTINCT term) AS n_terms, 32 AS n_hex FROM {_TERMS}"
+
 QUERIES = {
     f.__name__: f
     for f in (
-        service_settings, last_rendered_segment, translated_progress, checkpoint_progress, pending_segments, current_segments, recorded_failures, resumed_checkpoints, blocked_log_appended,
+        toc_titles_translated, glossary_hash, service_settings, last_rendered_segment, translated_progress, checkpoint_progress, pending_segments, current_segments, recorded_failures, resumed_checkpoints, blocked_log_appended,
         glossary_last_wins, glossary_saturation, glossary_prompt, glossary_preview, extraction_texts, ordered_distinct_titles, title_backfill,
         translation_map, exact_match, fuzzy_match, cache_ttl_active, cache_stats_rollup, cache_lookup, cache_to_create, cache_keys, valid_modes, book_modes,
     )
 }
 SQL = {
+    "toc_titles_translated": TOC_TITLES_TRANSLATED, "glossary_hash": GLOSSARY_HASH,
     "service_settings": SERVICE_SETTINGS, "last_rendered_segment": LAST_RENDERED_SEGMENT,
     "translated_progress": TRANSLATED_PROGRESS, "checkpoint_progress": CHECKPOINT_PROGRESS, "pending_segments": PENDING_SEGMENTS, "current_segments": CURRENT_SEGMENTS,
     "recorded_failures": RECORDED_FAILURES, "resumed_checkpoints": RESUMED_CHECKPOINTS, "blocked_log_appended": BLOCKED_LOG_APPENDED, "glossary_last_wins": GLOSSARY_LAST_WINS,

@@ -80,3 +80,17 @@ def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def reset(spark: SparkSession, path: str) -> bool:
+    """Delete the state at a path; whether there was any."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def recovered_context(spark: SparkSession, path: str, most: int = 2000) -> str:
+    """The last characters of a rendered file; empty if there is none. Only its last lines are brought here."""
+    if not exists(spark, path):
+        return ""
+    lines = spark.read.text(path).select("value").tail(most)
+    return "\n".join(r.value for r in lines)[-most:]
