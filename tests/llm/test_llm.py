@@ -174,6 +174,15 @@ def test_pieces_prefer_topic_changes():
     assert parts[0][2] == len(a)
 
 
+def test_very_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(splitting.split("same line here.\n" * 60_000, 2000, 150)) > 400
+    assert len(splitting.split("x" * 1_000_000, 2000, 150)) > 500
+    assert time.time() - began < 30
+
+
 def test_splitting_rows(spark):
     limits = spark.createDataFrame([("original_text", 50, 5), ("chapter_title", 10, 2), (None, None, None), ("other", 1, 1)], "field string, max_chars int, overlap_chars int")
     rows = [("x " * 60, None, 1, "long title here", "text", None, None), *EDGE]
@@ -260,6 +269,9 @@ def test_alignment(spark, samples):
         rows.append((" ".join(en), " ".join(de[i] for i in order), 1, None, "text", "en", "de"))
     got = {tuple(r) for r in alignment.align(segments(spark, rows + EDGE), samples).collect()}
     assert len(got & truth) > 0.97 * len(truth) and len(got - truth) < 0.03 * len(truth)
+    long = [(" ".join(f"The {rng.choice(NOUNS)[0]} came in {k}." for k in range(3000)), " ".join(f"Im Jahr {k} kamen alle." for k in range(3000)), 1, None, "text", "en", "de")]
+    linked = {tuple(r)[1:] for r in alignment.align(segments(spark, long + rows), samples).where("row_id = 0").collect()}
+    assert len(linked & {(k, k) for k in range(1, 3001)}) > 2900
     same = [(rows[0][0], rows[0][0], 1, None, "text", "en", "en")]
     assert alignment.align(segments(spark, same), samples).count() == 0
     assert alignment.align(segments(spark, rows).where("false"), samples).count() == 0

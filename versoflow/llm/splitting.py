@@ -64,16 +64,15 @@ def valley_depths(text: str, places: list[int]) -> list[float]:
         dot = sum(n * right[w] for w, n in left.items())
         norm = (sum(n * n for n in left.values()) * sum(n * n for n in right.values())) ** 0.5
         similarity.append(dot / norm if norm else 0.0)
-    depths = []
-    for k, s in enumerate(similarity):
-        i = k
-        while i > 0 and similarity[i - 1] >= similarity[i]:
-            i -= 1
-        j = k
-        while j < len(similarity) - 1 and similarity[j + 1] >= similarity[j]:
-            j += 1
-        depths.append(similarity[i] + similarity[j] - 2 * s)
-    return depths
+    # the peak to either side: as far as similarity doesn't fall on the way there
+    left, right = similarity[:], similarity[:]
+    for k in range(1, len(similarity)):
+        if similarity[k - 1] >= similarity[k]:
+            left[k] = left[k - 1]
+    for k in range(len(similarity) - 2, -1, -1):
+        if similarity[k + 1] >= similarity[k]:
+            right[k] = right[k + 1]
+    return [a + b - 2 * c for a, b, c in zip(left, right, similarity)]
 
 
 def _visible(text: str, start: int, end: int) -> list[int]:
