@@ -38,6 +38,10 @@ BACKGROUND, ROUNDS, INNER = 6, 5, 6
 ALPHA, BETA = 0.1, 0.01
 #: A term must be in at least so many documents and, about, in this share of all books (and in three).
 LEAST_DOCS, BOOK_SHARE = 4, 0.006
+#: Slots that languages are counted in, by hash.
+LANG_SLOTS = 16
+#: Standard deviations by which a word's labelled count must exceed what is expected to start a subject's topic.
+CLEAR = 2.5
 #: A topic is a subject's if its top terms fall to that subject's labelled documents by at least this share.
 PURE = 0.45
 #: Of the terms inspected, those that fall to a subject's labelled documents by less than this share don't speak for it.
@@ -51,6 +55,7 @@ CUTS = (0.2, 0.18, 0.25)
 _WORD = re.compile(r"[㐀-鿿々]+|[゠-ヿ]{2,}|[^\W\d_㐀-鿿々぀-ヿ]{3,}")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
 _JSON_END = re.compile(r'"\s*[,}\]]')
+_JSON_KEY = re.compile(r'"\w+"\s*:\s*(?:-?\d+(?:\.\d+)?\s*,?)?')
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _WRAPPED = re.compile(r"(?<=[^\s.!?…。！？:：>*|#-])-?\n(?=[^\W\d_][^\n]*)")
 
@@ -62,7 +67,7 @@ def units(text: str | None) -> list[str]:
     head = text.lstrip()[:8]
     if head.startswith(("[", "{", "```")) or '"translation"' in text:
         text = _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text)
-        text = _JSON_END.sub('"\n', text).replace('"translation":', "\n")
+        text = _JSON_KEY.sub("\n", _JSON_END.sub('"\n', text)).replace("```json", "\n")
     if "<" in text:
         text = _MARKUP.sub("\n", text)
     if "\n" in text and _is_wrapped(text):
@@ -99,15 +104,17 @@ def _statistics_mapper(labels):
         known, n_subjects = labels.value
         table: dict[str, list] = {}
         for batch in batches:
-            for doc_id, book, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "book_id", "text"))):
+            for doc_id, book, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "book_id", "lang", "text"))):
+                slot = 2 + n_subjects + (zlib.crc32(lang.encode()) % LANG_SLOTS if lang else LANG_SLOTS)
                 bit = 1 << (zlib.crc32(str(book).encode()) % 62) if book is not None else 0
                 of = known.get(doc_id, ())
                 for t in {t for u in units(text) for t in terms(u)}:
                     c = table.get(t)
                     if c is None:
-                        c = table[t] = [0, 0, *([0] * n_subjects)]
+                        c = table[t] = [0, 0, *([0] * (n_subjects + LANG_SLOTS + 1))]
                     c[0] += 1
                     c[1] |= bit
+                    c[slot] += 1
                     for s in of:
                         c[2 + s] += 1
             if len(table) > 200_000:
@@ -211,6 +218,19 @@ def _normalised(sums: np.ndarray) -> np.ndarray:
     return sums / sums.sum(axis=1, keepdims=True)
 
 
+def _background(words: list[str], docs: np.ndarray) -> np.ndarray:
+    """Starts of the topics of no subject: the first of kana and single Han characters, the second of Han pairs, the
+    others of Latin words with random weights, so that every script's everyday words have a topic to go to. Words that
+    start a subject's topic are left to it."""
+    kana = np.array(["぀" <= w[0] <= "ヿ" or len(w) == 1 for w in words])
+    han = np.array(["㐀" <= w[0] <= "鿿" and len(w) > 1 for w in words])
+    out = np.tile(docs, (BACKGROUND, 1)) * np.random.default_rng(7).gamma(2.0, 0.5, (BACKGROUND, len(words)))
+    out[0] = docs * (kana + 0.3 * han)
+    out[1] = docs * han
+    out[2:, kana | han] = 0
+    return out
+
+
 class Model:
     """Fitted topics: word probabilities, the subject of each topic (-1 none), and the top terms that decided it."""
 
@@ -233,10 +253,10 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[M
     for r in rows:
         if r.subject in number:
             known[r.doc_id] = (*known.get(r.doc_id, ()), number[r.subject])
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("book_id").cast("long").alias("book_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("book_id").cast("long").alias("book_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast((known, len(names)))
     stats = docs.mapInArrow(_statistics_mapper(shared), "term string, docs bigint, books bigint, labelled array<bigint>")
-    sums = [F.sum(F.get("labelled", F.lit(k))).alias(f"s{k}") for k in range(len(names))]
+    sums = [F.sum(F.get("labelled", F.lit(k))).alias(f"s{k}") for k in range(len(names) + LANG_SLOTS)]
     total = stats.groupBy("term").agg(F.sum("docs").alias("docs"), F.bit_or("books").alias("books"), *sums)
     n_docs = max(1, docs.count())
     n_books = max(1, docs.agg(F.approx_count_distinct("book_id")).first()[0])
@@ -250,10 +270,18 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[M
     by_subject = table[[f"s{k}" for k in range(s)]].to_numpy(float).T if v else np.zeros((s, 0))
     n_of = np.array([max(1, sum(k in x for x in known.values())) for k in range(s)], dtype=float)
     rate = (by_subject + 0.02) / n_of[:, None]
-    base = (by_subject.sum(axis=0) + 0.2) / max(1.0, n_of.sum())
-    lift = rate / base
-    seeds = np.where(lift > 1.5, by_subject * np.log(np.maximum(lift, 1.0)), 0.0)
-    background = np.tile(table["docs"].to_numpy(float), (BACKGROUND, 1)) * np.random.default_rng(7).gamma(2.0, 0.5, (BACKGROUND, v)) if v else np.zeros((BACKGROUND, 0))
+    # what is expected of a word goes by how the labelled words of its language fall to the subjects, since the
+    # labelled documents of a subject need not have the languages of the others
+    language = table[[f"s{s + k}" for k in range(LANG_SLOTS)]].to_numpy(float).argmax(axis=1) if v else np.zeros(0, dtype=int)
+    expected = np.zeros_like(by_subject)
+    for k in np.unique(language):
+        mine = by_subject[:, language == k]
+        expected[:, language == k] = mine.sum(axis=0) * ((mine.sum(axis=1) + 1) / (mine.sum() + s))[:, None]
+    lift = (by_subject + 0.02) / (expected + 0.02 * max(1, s))
+    # only words over-used beyond chance start a topic
+    clear = (by_subject - expected) / np.sqrt(np.maximum(expected, 0.25)) >= CLEAR
+    seeds = np.where((lift > 1.5) & clear & (by_subject >= 2), by_subject * np.log(np.maximum(lift, 1.0)), 0.0)
+    background = _background(words, table["docs"].to_numpy(float)) * (seeds.max(axis=0, initial=0) == 0) if v else np.zeros((BACKGROUND, 0))
     phi = _normalised(np.concatenate((seeds, background)))
     index = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
     encoded = materialize(docs.mapInArrow(_encode_mapper(index), "doc_id bigint, n_units int, words binary, places binary"))
