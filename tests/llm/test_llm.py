@@ -277,6 +277,20 @@ def test_alignment(spark, samples):
     assert alignment.align(segments(spark, rows).where("false"), samples).count() == 0
 
 
+def test_word_pairs_do_not_depend_on_partitions(spark, samples):
+    # a rare pair, once in each of 20 partitions, beside frequent ones
+    rows = [(f"Zorblax waited near the {k} gates.", f"Quintavo wartete nahe den {k} Toren.", 1, None, "text", "en", "de") for k in range(20)]
+    model = charlm.NaiveBayes(charlm.samples_by_language(langid.labelled_sentences(samples, None)))
+    encoded = alignment.encode(segments(spark, rows), model)
+    of = lambda word, lang: int(alignment._salted(np.array([alignment.word_hash(word)], dtype=np.uint64), np.array([model.langs.index(lang)]))[0])
+    tables = []
+    for parts in (1, 20):
+        counts = encoded.repartition(parts, "row_id").mapInArrow(alignment._first_counts, alignment.COUNTS)
+        tables.append({(r.source, r.target): r.c for r in counts.groupBy("source", "target").agg(F.sum("c").alias("c")).collect()})
+    assert tables[0] == tables[1]
+    assert tables[1][of("zorblax", "de"), of("quintavo", "en")] == 20
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(1, 30)), max_size=30, unique_by=lambda x: x[:2]))
 def test_competitive_linking(edges):
