@@ -291,6 +291,22 @@ def test_word_pairs_do_not_depend_on_partitions(spark, samples):
     assert tables[1][of("zorblax", "de"), of("quintavo", "en")] == 20
 
 
+def test_expectation_shares_among_all_words_of_linked_sentences(spark, samples):
+    rows = [(f"The {a} {v} the {b}.", f"Die {x} {w} die {y}.", 1, None, "text", "en", "de") for a, x in NOUNS for b, y in NOUNS for v, w in VERBS if a != b]
+    model = charlm.NaiveBayes(charlm.samples_by_language(langid.labelled_sentences(samples, None)))
+    encoded = alignment.encode(segments(spark, rows), model)
+    side = alignment._sides(encoded.toArrow().to_batches()[0])
+    empty = np.zeros(0)
+    # a table without one row: every pair of words still counts, and each target word is shared out whole
+    counts = alignment.Counts()
+    alignment._share(counts, *side, np.arange(5), np.arange(5), alignment.Table(*[empty] * 5, (empty, empty), (empty, empty)))
+    counts.merge()
+    assert len(counts.keys) > 0 and abs(counts.sums.sum() - side[1].size[:5].sum()) < 0.01
+    vocabulary = encoded.mapInArrow(alignment._vocabulary_mapper, alignment.VOCABULARY).distinct()
+    table, weights = alignment.translation_table(encoded, vocabulary)
+    assert alignment._moved(table, alignment._table(alignment._by_block(encoded, alignment._entries(vocabulary, table, weights), alignment._expectation, alignment.COUNTS), False)[0]) <= 2 * alignment.SETTLED
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(1, 30)), max_size=30, unique_by=lambda x: x[:2]))
 def test_competitive_linking(edges):
