@@ -307,6 +307,33 @@ def test_expectation_shares_among_all_words_of_linked_sentences(spark, samples):
     assert alignment._moved(table, alignment._table(alignment._by_block(encoded, alignment._entries(vocabulary, table, weights), alignment._expectation, alignment.COUNTS), False)[0]) <= 2 * alignment.SETTLED
 
 
+def side(lang, texts):
+    """One row's sentences, each a list of words, as in a batch."""
+    records = np.array([(k + 1, lang, len(words)) for k, words in enumerate(texts)], dtype=np.int32)
+    return alignment.Side([records.tobytes()], [np.array([alignment.word_hash(w) for words in texts for w in words], dtype=np.uint32).tobytes()])
+
+
+def linked(o, t, pairs=(), of=0.9):
+    """Links of one row by a table of the given word pairs."""
+    key = lambda k, lang: np.array([int(alignment._salted(np.array([alignment.word_hash(p[k])], dtype=np.uint64), np.array([lang]))[0]) for p in pairs], dtype=np.uint64)
+    value, nothing = np.full(len(pairs), of), (np.zeros(0, dtype=np.uint64), np.zeros(0))
+    table = alignment.Table(key(0, 1), key(1, 0), value, value, value, nothing, nothing)
+    return sorted(zip(*(x.tolist() for x in alignment.link(side(0, o), side(1, t), table))))
+
+
+def test_crowded_words_are_matched_near_the_diagonal():
+    refrain = [["aldwin", "borough"]] * 200
+    assert linked(refrain, refrain) == [(k, k) for k in range(200)]
+
+
+def test_unlinked_sentences_between_linked_neighbours():
+    o = [["anna", "1"], ["unheard"], ["berta", "2"]]
+    t = [["anna", "1"], ["nievernommen"], ["berta", "2"]]
+    assert linked(o, t) == [(0, 0), (1, 1), (2, 2)]
+    # known words without anything in common speak against it
+    assert linked(o, t, [("unheard", "ungehört")]) == [(0, 0), (2, 2)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(1, 30)), max_size=30, unique_by=lambda x: x[:2]))
 def test_competitive_linking(edges):
