@@ -334,6 +334,15 @@ def test_unlinked_sentences_between_linked_neighbours():
     assert linked(o, t, [("unheard", "ungehört")]) == [(0, 0), (2, 2)]
 
 
+def test_divisions_and_merges_into_three():
+    whole = ["a1", "a2", "b1", "b2", "b3", "b4", "c1", "c2"]
+    # the middle part explains most and wins; the first part is in front of it
+    assert linked([whole, ["z9"]], [["a1", "a2"], ["b1", "b2", "b3", "b4"], ["c1", "c2"], ["z9"]]) == [(0, 0), (0, 1), (0, 2), (1, 3)]
+    # the first part wins, the third is two away from it
+    assert linked([whole, ["z9"]], [["b1", "b2", "b3", "b4"], ["a1", "a2"], ["c1", "c2"], ["z9"]]) == [(0, 0), (0, 1), (0, 2), (1, 3)]
+    assert linked([["b1", "b2", "b3", "b4"], ["a1", "a2"], ["c1", "c2"], ["z9"]], [whole, ["z9"]]) == [(0, 0), (1, 0), (2, 0), (3, 1)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(1, 30)), max_size=30, unique_by=lambda x: x[:2]))
 def test_competitive_linking(edges):
