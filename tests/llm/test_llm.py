@@ -136,6 +136,16 @@ def test_length_fit():
 BOOKS = "doc_id long, service string, target_lang string, name string"
 
 
+def test_length_fit_beside_very_long_values_and_dense_bodies():
+    lengths, counts = np.arange(50, 400), np.full(350, 20)
+    lengths, counts, opened = np.append(lengths, [3000, 6_000_000]), np.append(counts, [60, 1]), np.append(np.full(350, 10), [55, 0])
+    for part in (slice(None), slice(None, -1)):
+        assert [f[0] for f in truncation.fit_lengths(lengths[part], counts[part], opened[part])] == [3000]
+    lengths, counts, opened = np.arange(50, 400), np.full(350, 200), np.full(350, 100)
+    lengths, counts, opened = np.append(lengths, 3000), np.append(counts, 60), np.append(opened, 55)
+    assert 3000 in [f[0] for f in truncation.fit_lengths(lengths, counts, opened)]
+
+
 def test_defects(spark, samples):
     o, t = "The houses are standing in the old harbour. The dogs love the trees.", "Die Häuser stehen im alten Hafen. Die Hunde lieben die Bäume."
     rows = [(o, x, 1, None, "text", "en", "de") for x in (t, "", "I cannot translate this text.", o, "Les maisons sont dans le vieux port. Les chiens aiment les arbres.", "Die Häuser stehen im alten Hafen. Die Hunde li")] + EDGE

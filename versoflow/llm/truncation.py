@@ -69,19 +69,17 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, opened: np.ndarray) ->
     if counts.sum() < 30:
         return []
     order = np.argsort(lengths)
-    lengths, counts, opened = lengths[order], counts[order].astype(float), opened[order].astype(float)
-    top = int(lengths.max()) + 64
-    if top > 5_000_000:
-        return []
-    per_open = np.zeros(top + 64)
-    np.add.at(per_open, lengths, opened)
-    smooth = np.convolve(per_open, np.ones(41) / 41, mode="same")[: len(per_open)]
-    window = np.convolve(per_open, np.ones(SLACK + 1), mode="full")[SLACK : SLACK + len(per_open)]  # at n .. n+SLACK
-    candidates = []
-    for n in np.argsort(-window)[:40]:
-        around = (smooth[n] * 41 - window[n]) / (41 - SLACK - 1)
-        if n >= 16 and per_open[n] >= 3 and window[n] >= max(8, 6 * (around + 0.2) * (SLACK + 1)) and all(abs(n - m) > 2 * SLACK for m in candidates):
-            candidates.append(int(n))
+    lengths, counts, opened = lengths[order].astype(np.int64), counts[order].astype(float), opened[order].astype(float)
+    sums = np.concatenate(([0.0], np.cumsum(opened)))
+    within = lambda lo, hi: sums[np.searchsorted(lengths, lengths + hi, side="right")] - sums[np.searchsorted(lengths, lengths + lo)]
+    window, around = within(0, SLACK), within(-20, 20)
+    around = (around - window) / (41 - SLACK - 1)
+    peaks = np.flatnonzero((lengths >= 16) & (within(0, 0) >= 3) & (window >= np.maximum(8, 6 * (around + 0.2) * (SLACK + 1))))
+    candidates, beside = [], set()
+    for n in lengths[peaks[np.lexsort((lengths[peaks], -window[peaks]))]].tolist():
+        if n not in beside:
+            candidates.append(n)
+            beside.update(range(n - 2 * SLACK, n + 2 * SLACK + 1))
     logs = np.log(np.maximum(lengths, 1))
     mean, sd = np.average(logs, weights=counts), 1.0
     at = np.zeros(len(lengths), dtype=bool)
