@@ -34,7 +34,8 @@ def _hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
     power = np.uint64(1)
     with np.errstate(over="ignore"):
         for n in range(order):
-            shifted = np.concatenate((np.zeros(n, dtype=np.uint64), points[: len(points) - n] + np.uint64(1)))
+            shifted = np.zeros(len(points), dtype=np.uint64)
+            shifted[n:] = points[: max(0, len(points) - n)] + np.uint64(1)
             out.append(out[-1] + shifted * power)
             power = power * _P
     return out
@@ -46,18 +47,19 @@ def _key(window: np.ndarray, n: int, salt: int) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))) * _MIX
 
 
-class HashArray:
-    """Sorted keys with one value each; absent keys give the default."""
+class HashRows:
+    """Sorted hash array: keys with a row of values each, one a language; absent keys give zeros."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, rows: np.ndarray) -> None:
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float64)
+        self.keys = keys[order]
+        self.rows = np.concatenate((rows[order].astype(np.float64), np.zeros((1, rows.shape[1]))))
 
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
+    def get(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.full(len(keys), default)
+            return self.rows[np.zeros(len(keys), dtype=np.int64)]
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], default)
+        return self.rows[np.where(self.keys[at] == keys, at, len(self.keys))]
 
 
 def script_class(points: np.ndarray) -> np.ndarray:
@@ -82,7 +84,8 @@ class KneserNey:
     def __init__(self, samples: dict[str, list[str]], order: int = 5) -> None:
         self.langs, self.order = sorted(samples), order
         self.base = []
-        prob_keys, probs, back_keys, backs = [], [], [], []
+        probs: list[tuple[int, np.ndarray, np.ndarray]] = []
+        backs: list[tuple[int, np.ndarray, np.ndarray]] = []
         for k, lang in enumerate(self.langs):
             points, _, place = _windows(samples[lang], order)
             self.base.append(_class_shares(points))
@@ -104,9 +107,9 @@ class KneserNey:
                 for g, c in used.items():
                     total[g[:-1]] += c
                     kinds_after[g[:-1]] += 1
-                for grams, into_keys, into in (
-                    ({g: max(0.0, c - discount) / total[g[:-1]] for g, c in used.items()}, prob_keys, probs),
-                    ({c: discount * kinds_after[c] / total[c] for c in total}, back_keys, backs),
+                for grams, into in (
+                    ({g: max(0.0, c - discount) / total[g[:-1]] for g, c in used.items()}, probs),
+                    ({c: discount * kinds_after[c] / total[c] for c in total}, backs),
                 ):
                     if grams:
                         size = len(next(iter(grams)))
@@ -117,27 +120,28 @@ class KneserNey:
                             for j in range(size - 1, -1, -1):
                                 window = window + (block[:, j] + np.uint64(1)) * power
                                 power = power * _P
-                        into_keys.append(_key(window, n, k))
-                        into.append(np.array(list(grams.values())))
-        self.prob = HashArray(np.concatenate(prob_keys), np.concatenate(probs))
-        self.back = HashArray(np.concatenate(back_keys), np.concatenate(backs))
+                        into.append((k, _key(window, n, 0), np.array(list(grams.values()))))
+        self.prob = self._rows(probs)
+        self.back = self._rows([(k, keys, values - 1.0) for k, keys, values in backs])  # absent contexts give one
         self.base = np.array(self.base)
 
+    def _rows(self, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> HashRows:
+        keys = np.unique(np.concatenate([g for _, g, _ in parts]))
+        rows = np.zeros((len(keys), len(self.langs)))
+        for k, grams, values in parts:
+            rows[np.searchsorted(keys, grams), k] = values
+        return HashRows(keys, rows)
+
     def score(self, tokens: list[str]) -> np.ndarray:
         points, owner, place = _windows(tokens, self.order)
         windows = _hashes(points, self.order)
         kinds = script_class(points)
-        out = np.zeros((len(tokens), len(self.langs)))
-        for k in range(len(self.langs)):
-            p = self.base[k][kinds] / _CLASS_SIZE[kinds]
-            for n in range(1, self.order + 1):
-                fits = place >= n - 1
-                context = np.concatenate(([0], windows[n - 1][:-1])).astype(np.uint64) if n > 1 else np.zeros(len(points), dtype=np.uint64)
-                keys = _key(windows[n], n, k)
-                contexts = _key(context, n, k)
-                p = np.where(fits, self.prob.get(keys, 0.0) + self.back.get(contexts, 1.0) * p, p)
-            out[:, k] = np.bincount(owner[place > 0], np.log(p[place > 0]), minlength=len(tokens))
-        return out
+        p = self.base.T[kinds] / _CLASS_SIZE[kinds][:, None]
+        for n in range(1, self.order + 1):
+            fits = np.flatnonzero(place >= n - 1)
+            context = windows[n - 1][fits - 1] if n > 1 else np.zeros(len(fits), dtype=np.uint64)
+            p[fits] = self.prob.get(_key(windows[n][fits], n, 0)) + (1.0 + self.back.get(_key(context, n, 0))) * p[fits]
+        return _token_sums(np.log(p), owner, place, len(tokens))
 
 
 class NaiveBayes:
@@ -145,32 +149,43 @@ class NaiveBayes:
 
     def __init__(self, samples: dict[str, list[str]], order: int = 4, alpha: float = 0.05) -> None:
         self.langs, self.order = sorted(samples), order
-        keys, values, self.unseen, self.scripts = [], [], np.zeros((len(self.langs), order + 1)), []
-        for k, lang in enumerate(self.langs):
+        met: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
+        scripts = []
+        for lang in self.langs:
             points, _, place = _windows(samples[lang], order)
-            self.scripts.append(np.log(_class_shares(points)))
+            scripts.append(np.log(_class_shares(points)))
             windows = _hashes(points, order)
             for n in range(1, order + 1):
                 grams, counts = np.unique(windows[n][(place >= n - 1) & (place > 0)], return_counts=True)
+                met[n].append((_key(grams, n, 100), counts))
+        keys, rows = [], []
+        self.unseen = np.zeros((order + 1, len(self.langs)))
+        for n in range(1, order + 1):
+            union = np.unique(np.concatenate([g for g, _ in met[n]]))
+            values = np.empty((len(union), len(self.langs)))
+            for k, (grams, counts) in enumerate(met[n]):
                 size = counts.sum() + alpha * 20000
-                self.unseen[k, n] = np.log(alpha / size)
-                keys.append(_key(grams, n, 100 + k))
-                values.append(np.log((counts + alpha) / size))
-        self.table = HashArray(np.concatenate(keys), np.concatenate(values))
-        self.scripts = np.array(self.scripts)
+                self.unseen[n, k] = np.log(alpha / size)
+                values[:, k] = self.unseen[n, k]
+                values[np.searchsorted(union, grams), k] = np.log((counts + alpha) / size)
+            keys.append(union)
+            rows.append(values - self.unseen[n])
+        self.table = HashRows(np.concatenate(keys), np.concatenate(rows))
+        self.scripts = np.array(scripts)
 
     def score(self, tokens: list[str]) -> np.ndarray:
         points, owner, place = _windows(tokens, self.order)
         windows = _hashes(points, self.order)
-        kinds = script_class(points)
-        out = np.zeros((len(tokens), len(self.langs)))
-        for k in range(len(self.langs)):
-            total = self.scripts[k][kinds].copy()
-            for n in range(1, self.order + 1):
-                fits = (place >= n - 1) & (place > 0)
-                total += np.where(fits, self.table.get(_key(windows[n], n, 100 + k), self.unseen[k, n]) / self.order, 0.0)
-            out[:, k] = np.bincount(owner[place > 0], total[place > 0], minlength=len(tokens))
-        return out
+        total = self.scripts.T[script_class(points)]
+        for n in range(1, self.order + 1):
+            fits = np.flatnonzero((place >= n - 1) & (place > 0))
+            total[fits] += (self.table.get(_key(windows[n][fits], n, 100)) + self.unseen[n]) / self.order
+        return _token_sums(total, owner, place, len(tokens))
+
+
+def _token_sums(values: np.ndarray, owner: np.ndarray, place: np.ndarray, tokens: int) -> np.ndarray:
+    live = place > 0
+    return np.stack([np.bincount(owner[live], values[live, k], minlength=tokens) for k in range(values.shape[1])], axis=1)
 
 
 class TokenScores:

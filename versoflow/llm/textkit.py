@@ -15,7 +15,7 @@ import numpy as np
 # The marks that end a sentence and those that may close it.
 ENDS = ".!?…"
 WIDE_ENDS = "。！？"
-CLOSERS = "”’\"')]）】」』»`"
+CLOSERS = "”’\"')]）】」』»"
 
 _E, _W, _C = re.escape(ENDS), WIDE_ENDS, re.escape(CLOSERS)
 _BREAK = re.compile(rf"[\r\n]+|[{_W}][{_E}{_W}]*[{_C}]*|[{_E}]+[{_C}]*(?=\s|$)")
