@@ -233,25 +233,38 @@ class WordScores:
 
 
 class Rated:
-    """Sentences of a batch with their log-probability in each language.
+    """Sentences of a batch with their log-probability in each language, and their words and letters that count.
 
     Latin words say nothing in a sentence of Chinese or Japanese, and the other way round; Japanese sentences have kana,
-    so one of at least ``kana_from`` Han characters without any is held not to be Japanese.
+    so one of at least ``kana_from`` Han characters without any is held not to be Japanese. Letters in unbroken ``runs``
+    (of Latin letters, of Han and kana) at least so long don't count.
     """
 
-    def __init__(self, cut: Cut, scores: WordScores, kana_from: int) -> None:
+    def __init__(self, cut: Cut, scores: WordScores, kana_from: int, runs: tuple[int, int] | None = None) -> None:
         row = scores.rows(cut)
-        latin_word = cut.script == LATIN
-        letters = cut.letters.astype(np.float64)
-        self.wide, self.latin = cut.sums(letters * ((cut.script >= HAN) & (cut.script <= KATAKANA))), cut.sums(letters * latin_word)
+        latin, digit = cut.script == LATIN, cut.script == DIGIT
+        held = np.ones(len(cut.key)) if runs is None else ~_in_runs(cut, latin, runs) * 1.0
+        letters = cut.letters * held
+        self.wide, self.latin = cut.sums(letters * ~(latin | digit)), cut.sums(letters * latin)
         self.is_wide = 3 * self.wide >= self.latin
-        counts = (cut.script == DIGIT) | (latin_word != self.is_wide[cut.sentence])
+        self.words = cut.sums(held)
+        counts = held * (digit | (latin != self.is_wide[cut.sentence]))
         self.total = cut.sums(scores.scores[row] * counts[:, None])
         if "ja" in scores.model.langs:
-            kana = cut.sums(((cut.script == HIRAGANA) | (cut.script == KATAKANA)).astype(np.float64))
+            kana = cut.sums(held * ((cut.script == HIRAGANA) | (cut.script == KATAKANA)))
             self.total[:, scores.model.langs.index("ja")] -= np.where((kana == 0) & (self.wide >= kana_from), self.wide, 0.0)
 
 
+def _in_runs(cut: Cut, latin: np.ndarray, runs: tuple[int, int]) -> np.ndarray:
+    """Whether a word is part of an unbroken run: a Latin word, or words of Han and kana that touch."""
+    if not len(latin):
+        return latin
+    head = np.flatnonzero(np.concatenate(([True], latin[1:] | latin[:-1] | (cut.begin[1:] != cut.stop[:-1]))))
+    length = np.add.reduceat(cut.stop - cut.begin, head)
+    of = np.repeat(length, np.diff(np.append(head, len(latin))))
+    return of >= np.where(latin, *runs)
+
+
 #: Rows and characters of a batch that are held in arrays at a time.
 ROWS, CHARACTERS = 1000, 1_000_000
 

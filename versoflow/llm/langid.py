@@ -2,7 +2,8 @@
 
 Method: interpolated Kneser-Ney character models, one a language, in sorted hash arrays. Each sentence gets the
 language of lowest cross-entropy for its length; sentences whose best cross-entropy lies above a limit calibrated
-on the training sentences, and lines that are headings, tables, code, references or unbroken runs, are rejected.
+on the training sentences, and lines that are headings, tables, code or references, are rejected; unbroken runs of
+letters say nothing. Sentences of under three words or eight letters count where a text has no longer one.
 
 Defined results: null, empty and letterless texts have no language (``langs`` empty, status ``none``); a text
 without any language is never listed as a case. Ties go to the language first in the alphabet. Repeated rows
@@ -19,15 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versoflow.llm.charlm import KneserNey, TokenScores, samples_by_language
-from versoflow.llm.textkit import FIRST_WORD, Sentences, sentences
+from versoflow.llm.charlm import KneserNey, samples_by_language
+from versoflow.llm.cutting import Cut, Rated, WordScores, slices
 
 #: Rows of labelled sentences a language that the models are fitted on, at most.
 MAX_SAMPLES = 2000
 #: Nats by which a sentence must prefer another language before it leaves the text's main language.
 STAY = 4.0
-#: Letters in a row without a break from which a run isn't a sentence.
-RUN = 60
+#: Nats by which a short sentence, of a text without longer ones, must prefer its language.
+CLEAR = 3.0
+#: Letters in a row, of Latin words and of Han and kana, from which they are an unbroken run: such a run says nothing, the
+#: rest of its sentence does.
+RUNS = (100, 300)
 
 # Codes and names of the six languages in usual label styles, before any region.
 LABELS = {
@@ -80,50 +84,29 @@ class Detector:
 
     def __init__(self, model: KneserNey, limits: dict[int, float]) -> None:
         self.model, self.limits = model, limits
-        self.scores = TokenScores(model)
+        self.scores = WordScores(model)
         self.langs = np.array(model.langs)
 
-    def decide(self, texts: list[str | None]) -> tuple[Sentences, np.ndarray, np.ndarray, np.ndarray]:
+    def decide(self, texts: list[str | None]) -> tuple[Cut, np.ndarray, np.ndarray, np.ndarray]:
         """Sentences, and for each: its language number or -1, total log-probabilities, letters."""
-        scores, size = self.scores, len(self.langs)
-        ids = scores.ids([readable(t) for t in texts])
-        s = Sentences(ids)
-        words = ids >= FIRST_WORD
-        script = scores.script[ids]
-        letters = np.where(words, scores.letters[ids], 0.0)
-        wide = s.sums((words & (script >= 2)) * letters)
-        latin = s.sums((words & (script == 1)) * letters)
-        n_words = s.sums(words.astype(float))
-        is_wide = 3 * wide >= latin
-        keep = words.astype(float)
-        of_sentence = np.repeat(np.arange(len(s.start)), s.end + 1 - s.start) if len(s.start) else np.zeros(0, dtype=int)
-        if len(of_sentence):
-            # names in Latin letters say nothing in a sentence of Chinese or Japanese, and the other way round
-            keep[(script == 1) & is_wide[of_sentence]] = 0
-            keep[(script >= 2) & ~is_wide[of_sentence]] = 0
-        total = s.sums(scores.scores[ids] * keep[:, None])
-        if "ja" in self.langs:  # Japanese sentences have kana
-            kana = s.sums((words & (script == 3)).astype(float))
-            total[:, int(np.flatnonzero(self.langs == "ja")[0])] -= np.where(kana == 0, wide, 0.0)
-        count = np.where(is_wide, wide, latin)
-        longest = np.zeros(len(s.start))
-        if len(of_sentence):
-            np.maximum.at(longest, of_sentence, np.where(script == 1, letters, 0))
-        enough = np.where(is_wide, (wide >= 5) & (n_words >= 3), (latin >= 8) & (n_words >= 3))
-        entropy = -total.max(axis=1, initial=-1e9) / np.maximum(count, 1) if len(total) else np.zeros(0)
-        run = (longest >= RUN) | (is_wide & (wide >= 120))
-        cap = np.where(is_wide, self.limits[1], self.limits[0])
-        sound = enough & ~s.code & ~s.table & ~s.heading & ~run & (entropy <= cap)
-        docs = len(texts)
-        prior = np.zeros((docs, size))
-        for k in range(size):
-            prior[:, k] = np.bincount(s.doc[sound], total[sound, k], minlength=docs)[:docs]
-        main = prior.argmax(axis=1)
+        cut = Cut([readable(t) for t in texts])
+        rated = Rated(cut, self.scores, 1, RUNS)
+        n_words = rated.words
+        wide, latin, total = rated.wide, rated.latin, rated.total
+        count = np.where(rated.is_wide, wide, latin)
+        entropy = -total.max(axis=1, initial=-1e9) / np.maximum(count, 1)
+        fits = ~cut.code & ~cut.table & ~cut.heading & (entropy <= np.where(rated.is_wide, self.limits[1], self.limits[0]))
+        sound = fits & (n_words >= 3) & np.where(rated.is_wide, wide >= 5, latin >= 8)
+        # short sentences that end with a mark speak for texts that have no longer one
+        docs, size = cut.docs, len(self.langs)
+        alone = np.bincount(cut.doc, sound, minlength=docs)[cut.doc] == 0
+        clear = np.sort(total, axis=1)
+        clear = clear[:, -1] - clear[:, -2] >= CLEAR if size > 1 else np.ones(len(total), dtype=bool)
+        sound |= alone & fits & cut.closed & clear & (n_words >= 2) & (count >= 4)
+        prior = np.stack([np.bincount(cut.doc[sound], total[sound, k], minlength=docs) for k in range(size)], axis=1)
         held = total.copy()
-        if len(s.doc):
-            held[np.arange(len(s.doc)), main[s.doc]] += STAY
-        lang = np.where(sound, held.argmax(axis=1) if len(held) else 0, -1)
-        return s, lang, total, count
+        held[np.arange(len(cut.doc)), prior.argmax(axis=1)[cut.doc]] += STAY
+        return cut, np.where(sound, held.argmax(axis=1), -1), total, count
 
 
 def calibrated_limits(model: KneserNey, rows: list[tuple[str, str]]) -> dict[int, float]:
@@ -165,12 +148,11 @@ def _mapper(broadcast, fields: list[str], labels: list[str]):
             ("main", pa.string()), ("confidence", pa.float64()),
             ("stretches", pa.list_(pa.struct([("lang", pa.string()), ("first_no", pa.int32()), ("last_no", pa.int32()), ("confidence", pa.float64())]))),
         ])
-        for batch in batches:
+        for batch, columns in slices(batches, tuple(fields)):
             rows = batch.column("row_id")
-            for field, label in zip(fields, labels):
-                texts = batch.column(field).to_pylist()
+            for field, label, texts in zip(fields, labels, columns):
                 s, lang, total, count = detector.decide(texts)
-                langs, mains, confidences, stretches = _per_text(detector, texts, s, lang, total)
+                langs, mains, confidences, stretches = _per_text(detector, s, lang, total)
                 yield pa.RecordBatch.from_arrays(
                     [rows, pa.array([field] * len(texts)), batch.column(label).cast(pa.string()), pa.array(langs, type=schema.field("langs").type),
                      pa.array(mains, type=pa.string()), pa.array(confidences, type=pa.float64()), pa.array(stretches, type=schema.field("stretches").type)],
@@ -183,12 +165,12 @@ def _mapper(broadcast, fields: list[str], labels: list[str]):
 def _confidence(total: np.ndarray, lang: np.ndarray) -> np.ndarray:
     """Posterior of the chosen language under even priors; nats are shrunk, since characters aren't independent."""
     z = (total - total.max(axis=1, keepdims=True)) * 0.5
-    e = np.exp(z)
+    e = np.exp(np.maximum(z, -60))
     return e[np.arange(len(lang)), lang] / e.sum(axis=1)
 
 
-def _per_text(detector: Detector, texts: list, s: Sentences, lang: np.ndarray, total: np.ndarray):
-    docs, size = len(texts), len(detector.langs)
+def _per_text(detector: Detector, s: Cut, lang: np.ndarray, total: np.ndarray):
+    docs, size = s.docs, len(detector.langs)
     sound = lang >= 0
     counts = np.bincount(s.doc[sound] * size + lang[sound], minlength=docs * size)[: docs * size].reshape(docs, size)
     sums = np.stack([np.bincount(s.doc[sound], total[sound, k], minlength=docs)[:docs] for k in range(size)], axis=1)
@@ -205,28 +187,20 @@ def _per_text(detector: Detector, texts: list, s: Sentences, lang: np.ndarray, t
         for d, a, b in zip(several, first, last):
             langs[d] = [names[k] for k in np.flatnonzero(counts[d])]
             conf[d] *= counts[d].max() / counts[d].sum()
-            stretches[d] = _stretches(texts[d], lang[a:b], share[a:b], s, a, names)
+            stretches[d] = _stretches(s.number[a:b], lang[a:b], share[a:b], names)
     return langs, [None if m < 0 else names[m] for m in main], np.where(main < 0, 0.0, conf), stretches
 
 
-def _stretches(text: str, lang: np.ndarray, share: np.ndarray, s: Sentences, a: int, names: list[str]) -> list[dict]:
+def _stretches(number: np.ndarray, lang: np.ndarray, share: np.ndarray, names: list[str]) -> list[dict]:
     """Runs of sentences of one language, numbered by the counting rule; rejected sentences join the run before."""
-    numbers, n = [], len(sentences(text))
-    filled = [i for i in range(len(lang)) if s.end[a + i] > s.start[a + i]]
-    # sentences without words (numbers, emoji) have no tokens but a number; align from the front
-    for i, sentence in enumerate(sentences(text), 1):
-        if any(c.isalpha() or c in "#|`" for c in sentence):
-            numbers.append(i)
-    if len(numbers) != len(filled):
-        numbers = list(range(1, len(filled) + 1))
     out: list[dict] = []
-    for no, i in zip(numbers, filled):
-        if lang[i] < 0:
+    for no, k, c in zip(number.tolist(), lang.tolist(), share.tolist()):
+        if k < 0:
             continue
-        if out and out[-1]["lang"] == names[lang[i]]:
-            out[-1]["last_no"], out[-1]["confidence"] = min(no, n), min(out[-1]["confidence"], float(share[i]))
+        if out and out[-1]["lang"] == names[k]:
+            out[-1]["last_no"], out[-1]["confidence"] = no, min(out[-1]["confidence"], c)
         else:
-            out.append({"lang": names[lang[i]], "first_no": min(no, n), "last_no": min(no, n), "confidence": float(share[i])})
+            out.append({"lang": names[k], "first_no": no, "last_no": no, "confidence": c})
     return out
 
 
