@@ -163,6 +163,13 @@ class Cut:
         return total
 
 
+def paired(before: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Key of two words that follow one another."""
+    with np.errstate(over="ignore"):
+        x = (before * np.uint64(0x9FB21C651E98DF25)) ^ key
+        return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _units(texts: list[str | None]) -> np.ndarray:
     """The UTF-16 units of all texts, with a NUL before each and at the end."""
     joined = "".join(["\x00" + (t.replace("\x00", " ") if t else "") for t in texts]) + "\x00"

@@ -1,8 +1,9 @@
 """Problem 2: defective replies with their type of defect.
 
-Method: language posteriors of prompt and reply from character n-gram naive Bayes are compared (copy, wrong
-language); truncation comes from the end-of-text likelihoods of problem 4. The first type that applies counts:
-empty, refusal, copy, wrong_language, truncated.
+Method: language posteriors of prompt and reply from character n-gram naive Bayes are compared: a reply whose likeliest
+language is its prompt's may be a copy, one of neither the target language nor a mixture with it is in a wrong language.
+Truncation comes from the end-of-text n-gram likelihoods of problem 4, refusals from a naive Bayes classifier of words
+(``refusal``). The first type that applies counts: empty, refusal, copy, wrong_language, truncated.
 
 Defined results: only rows of type ``text`` with a non-blank prompt are judged; rows without a book have no target
 language and are never ``wrong_language``. Repeated rows count each for itself. Empty tables give empty results.
@@ -23,7 +24,7 @@ def classify(segments: DataFrame, books: DataFrame, samples: DataFrame, glossary
     foreign = (F.col("reply_lang") != "") & F.col("target_lang").isNotNull() & ~F.array_contains(whole, F.col("target_lang"))
     defect = (
         F.when(F.col("empty"), "empty")
-        .when(F.col("refusal"), "refusal")
+        .when(F.col("refusal") > 0, "refusal")
         .when(F.col("copy"), "copy")
         .when(foreign, "wrong_language")
         .when(F.col("cut"), "truncated")

@@ -11,27 +11,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from versoflow.llm.charlm import NaiveBayes, TokenScores
+from versoflow.llm.charlm import NaiveBayes
+from versoflow.llm.cutting import Cut, Rated, WordScores, paired, slices
 from versoflow.llm.langid import readable
-from versoflow.llm.textkit import CLOSERS, DOC, FIRST_WORD, Sentences
+from versoflow.llm.refusal import Refusals
+from versoflow.llm.sums import Sums
+from versoflow.llm.textkit import CLOSERS
 
 # The pipeline's failure markers.
 _MARKER = re.compile(r"\s*\[(?:Translation )?Failed[^\]]*\]?\s*|[^\n]{0,200}Failed\]\s*")
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{0,3}$")
 _TAGS = re.compile(r"<[^<>]*>")
 
-# Inability or unwillingness together with the task, by language. A quoted "I cannot bring the letters" has no task.
-_REFUSALS = re.compile(
-    r"\b(?:can(?:no|['’])t|unable to|not able to|won['’]t|will not|must decline|have to decline|decline to|must refuse|refuse to|not comfortable)\b[^.!?\n]{0,60}"
-    r"\b(?:translat\w*|request|passage|excerpt|text|rendering|render|help|assist\w*|content|comply|process|task)\b"
-    r"|\bnot something i can\b"
-    r"|\b(?:kann|können|muss|darf|möchte|werde)\b[^.!?\n]{0,70}\b(?:übersetzen|ablehnen|bearbeiten|verarbeiten|weiterhelfen|helfen|behilflich|übertragen)\b"
-    r"|\b(?:ne peux pas|ne puis|ne suis pas en mesure|impossible|dois décliner|dois refuser|refuse de)\b[^.!?\n]{0,70}\b(?:tradui\w*|aider|demande|passage|texte|traiter|contenu)"
-    r"|\b(?:no puedo|no me es posible|no es posible|debo rechazar|debo declinar|me niego|imposible)\b[^.!?\n]{0,70}\b(?:traduc\w*|ayudar\w*|petición|solicitud|fragmento|texto|procesar|contenido)"
-    r"|(?:无法|不能|不便|没法|没有办法|拒绝|不会)[^。！？\n]{0,12}(?:翻译|处理|请求|协助|帮助|提供|内容|文字|文本|任务)|(?:请求|任务|文字|内容)[^。！？\n]{0,8}(?:拒绝|无法|不能)"
-    r"|(?:翻訳|対応|処理|お手伝い|提供)[^。！？\n]{0,12}(?:できません|できかねます|いたしかねます|できない)|お断り",
-    re.I,
-)
 _NOT_SPACE = re.compile(r"[\W_]+")
 _BLANK = " \t\r\n  　"
 
@@ -131,20 +122,6 @@ def prompt_state(text: str | None) -> int:
     return state
 
 
-def _last_ids(ids: np.ndarray, docs: int) -> np.ndarray:
-    """Id of the last word of each text, -1 where there is none."""
-    doc = np.cumsum(ids == DOC) - (ids == DOC)
-    at = np.flatnonzero(ids >= FIRST_WORD)
-    out = np.full(docs, -1)
-    out[doc[at]] = ids[at]  # the last assignment stays
-    return out
-
-
-def _last_tokens(posteriors: Posteriors, last: np.ndarray, ends: list[int]) -> list[str | None]:
-    words = posteriors.scores.vocabulary.words
-    return [words[k - FIRST_WORD] if k >= 0 and e in (OPEN, DASH, ELLIPSIS, UNCLOSED) else None for k, e in zip(last, ends)]
-
-
 def _squeezed(text: str) -> str:
     return _NOT_SPACE.sub("", text).casefold()
 
@@ -168,139 +145,115 @@ def copied(prompt: str, reply: str) -> bool:
     return both >= 0.85 * len(y) and (both >= 0.8 * len(x) or len(b) < len(a) and both >= 0.95 * len(y) and a.startswith(b[: max(8, len(b) // 2)]))
 
 
-def refuses(reply: str) -> bool:
-    """Whether the reply declines the task: a refusing sentence and little besides.
-
-    Long replies are searched whole. At most two further sentences of stock wording may stand beside it.
-    """
-    m = _REFUSALS.search(reply)
-    if not m:
-        return False
-    from versoflow.llm.textkit import sentences
-
-    parts = sentences(reply)
-    at = [i for i, p in enumerate(parts) if _REFUSALS.search(p)]
-    return bool(at) and len(parts) - len(at) <= 2 and at[0] <= 1
-
-
 FEATURES = (
-    "row_id bigint, doc_id bigint, content_type string, prompt_blank boolean, empty boolean, refusal boolean, copy boolean, "
-    "reply_lang string, prompt_lang string, reply_conf double, n_chars int, n_bytes int, prompt_end int, reply_end int, last_token string, "
-    "token string, n_final bigint, n_all bigint"
+    "row_id bigint, doc_id bigint, content_type string, prompt_blank boolean, empty boolean, refusal double, copy boolean, "
+    "reply_lang string, prompt_lang string, reply_conf double, n_chars int, n_bytes int, prompt_end int, reply_end int, last_word bigint, last_two bigint, n_words int, n_ends int, "
+    "bucket int, keys binary, sums binary"
 )
-_ARROW = pa.schema([
-    ("row_id", pa.int64()), ("doc_id", pa.int64()), ("content_type", pa.string()), ("prompt_blank", pa.bool_()), ("empty", pa.bool_()),
-    ("refusal", pa.bool_()), ("copy", pa.bool_()), ("reply_lang", pa.string()), ("prompt_lang", pa.string()), ("reply_conf", pa.float64()),
-    ("n_chars", pa.int32()), ("n_bytes", pa.int32()), ("prompt_end", pa.int32()), ("reply_end", pa.int32()), ("last_token", pa.string()),
-    ("token", pa.string()), ("n_final", pa.int64()), ("n_all", pa.int64()),
-])
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in FEATURES.split(", "))])
+#: Buckets of the counts of words and of their pairs; partitions send one sum a word or pair.
+BUCKETS = 64
+#: Distinct words and pairs that a worker holds before it sends their counts on.
+HELD = 2_000_000
+#: In a sum of counts, the place of those at the end of a sentence.
+FINAL = 32
 
 
 class Posteriors:
-    """Language of a whole text by character n-gram naive Bayes, from per-token log-likelihoods."""
+    """Language of a whole text by character n-gram naive Bayes, from log-likelihoods of words."""
 
     def __init__(self, model: NaiveBayes) -> None:
-        self.model = model
-        self.scores = TokenScores(model)
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Token ids, sentences per text as arrays, argmax language (-1 without letters) and its share of sentences."""
-        scores, size, docs = self.scores, len(self.model.langs), len(texts)
-        ids = scores.ids(texts)
-        s = Sentences(ids)
-        words = ids >= FIRST_WORD
-        script = scores.script[ids]
-        letters = np.where(words, scores.letters[ids], 0.0)
-        wide, latin = s.sums((words & (script >= 2)) * letters), s.sums((words & (script == 1)) * letters)
-        is_wide = 3 * wide >= latin
-        keep = words.astype(float)
-        if len(s.start):
-            of_sentence = np.repeat(np.arange(len(s.start)), s.end + 1 - s.start)
-            keep[(script == 1) & is_wide[of_sentence]] = 0
-            keep[(script >= 2) & ~is_wide[of_sentence]] = 0
-        total = s.sums(scores.scores[ids] * keep[:, None])
-        if "ja" in self.model.langs:
-            kana = s.sums((words & (script == 3)).astype(float))
-            total[:, self.model.langs.index("ja")] -= np.where((kana == 0) & (wide >= 4), wide, 0.0)
-        prose = ~s.code & ~s.table
-        weigh = prose & (wide + latin > 0)
-        sums = np.stack([np.bincount(s.doc[weigh], total[weigh, k], minlength=docs)[:docs] for k in range(size)], axis=1) if docs else np.zeros((0, size))
-        got = np.bincount(s.doc[weigh], minlength=docs)[:docs] > 0 if docs else np.zeros(0, dtype=bool)
-        best = np.where(got, sums.argmax(axis=1) if docs else 0, -1)
-        z = np.exp((sums - sums.max(axis=1, keepdims=True)) * 0.5) if docs else sums
-        conf = np.where(got, 1 / z.sum(axis=1), 0.0) if docs else np.zeros(0)
+        self.model, self.scores = model, WordScores(model)
+
+    def of(self, texts: list[str | None]) -> tuple[Cut, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentences and words, the likeliest language (-1 without letters), its posterior, and how many sentences are
+        clearly of each language."""
+        cut = Cut(texts, han=1)
+        rated = Rated(cut, self.scores, 4)
+        size, docs, total = len(self.model.langs), cut.docs, rated.total
+        weigh = ~cut.code & ~cut.table & (rated.wide + rated.latin > 0)
+        sums = np.stack([np.bincount(cut.doc[weigh], total[weigh, k], minlength=docs) for k in range(size)], axis=1)
+        got = np.bincount(cut.doc[weigh], minlength=docs) > 0
+        z = np.exp(np.maximum(-60, (sums - sums.max(axis=1, keepdims=True)) * 0.5))
         # sentences clear of the text's language: long enough, and preferring another by a margin
-        sure = weigh & ((wide >= 5) | (latin >= 14)) & ~s.heading
-        choice = total.argmax(axis=1) if len(total) else np.zeros(0, dtype=int)
-        mixed = np.bincount(s.doc[sure] * size + choice[sure], minlength=docs * size)[: docs * size].reshape(docs, size)
-        self.sentences, self.mixed = s, mixed
-        return ids, best, conf, mixed
+        sure = weigh & ((rated.wide >= 5) | (rated.latin >= 14)) & ~cut.heading
+        mixed = np.bincount(cut.doc[sure] * size + total.argmax(axis=1)[sure], minlength=docs * size).reshape(docs, size)
+        return cut, np.where(got, sums.argmax(axis=1), -1), np.where(got, 1 / z.sum(axis=1), 0.0), mixed
+
+
+def _count(sums: Sums, cut: Cut) -> np.ndarray:
+    """Adds how often each word, and each word behind another of its sentence, occurs and ends a sentence; the pairs' keys."""
+    final = np.zeros(len(cut.key), dtype=np.int64)
+    closed = np.flatnonzero(cut.closed & ~cut.code & (cut.last > cut.first))  # ended by a mark, not by the end of the text
+    final[cut.last[closed] - 1] = 1
+    units = 1 + (final << FINAL)
+    two = np.zeros(len(cut.key), dtype=np.uint64)
+    inner = np.flatnonzero(cut.sentence[1:] == cut.sentence[:-1]) + 1
+    two[inner] = paired(cut.key[inner - 1], cut.key[inner])
+    for keys, n in ((cut.key, units), (two[inner], units[inner])):
+        order = np.argsort(keys)
+        keys = keys[order]
+        head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else keys
+        if len(head):
+            sums.add(keys[head], np.add.reduceat(n[order], head))
+    return two
+
+
+def _last_words(cut: Cut, two: np.ndarray, ends: list[int]) -> tuple[list, list]:
+    """Keys of the last word and of the last two words of texts whose end is open."""
+    last = np.full(cut.docs, -1)
+    some = np.flatnonzero(cut.last > cut.first)
+    last[cut.doc[some]] = cut.last[some] - 1  # the last assignment stays
+    one, pair = cut.key.view(np.int64), two.view(np.int64)
+    asked = [k if k >= 0 and e in (OPEN, DASH, ELLIPSIS, UNCLOSED) else None for k, e in zip(last.tolist(), ends)]
+    return [None if k is None else int(one[k]) for k in asked], [None if k is None or not pair[k] else int(pair[k]) for k in asked]
 
 
 def mapper(broadcast, whole: bool):
     """Arrow mapper over (row_id, doc_id, content_type, prompt, reply).
 
-    Emits a row of features for each input row and, at the end of its partition, counts of the tokens of replies:
-    how often a token occurs and how often a sentence ends with it. ``whole`` adds what only problem 2 needs.
+    Emits a row of features for each input row and, at the end of its partition, the counts of words and of pairs of words
+    of replies: how often they occur and how often a sentence ends with them. ``whole`` adds what only problem 2 needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posteriors = Posteriors(broadcast.value)
-        langs = posteriors.model.langs
+        model, weights = broadcast.value
+        posteriors, refusals, sums = Posteriors(model), Refusals(weights), Sums()
+        langs = model.langs
         names = np.array([*langs, ""], dtype=object)
-        counts: dict[str, list[int]] = {}
-        for batch in batches:
-            prompts, replies = batch.column("prompt").to_pylist(), batch.column("reply").to_pylist()
+        for batch, (prompts, replies) in slices(batches, ("prompt", "reply")):
             n = len(replies)
             blank = [not p or p.isspace() for p in prompts]
             empty = [is_empty(r) for r in replies]
-            ids, best, conf, mixed = posteriors.of([None if e else readable(r) for e, r in zip(empty, replies)])
-            _count(counts, posteriors, ids)
+            cut, best, conf, mixed = posteriors.of([None if e else readable(r) for e, r in zip(empty, replies)])
+            two = _count(sums, cut)
             ends = [NOTHING if e else end_state(r) for e, r in zip(empty, replies)]
-            last = _last_tokens(posteriors, _last_ids(ids, n), ends)
-            if len(counts) > 300_000:  # a bound on memory; the counts are summed after the shuffle anyway
-                yield _token_batch(counts)
-                counts.clear()
+            one, pair = _last_words(cut, two, ends)
+            copy, refusal, reply_lang, prompt_lang = [None] * n, [None] * n, [None] * n, [None] * n
             if whole:
                 _, first, _, _ = posteriors.of([None if e or b else p for e, b, p in zip(empty, blank, prompts)])
                 same = (best == first) | (best < 0)
                 copy = [not e and not b and bool(k) and copied(p, r) for e, b, k, p, r in zip(empty, blank, same, prompts, replies)]
-                refusal = [not e and refuses(r) for e, r in zip(empty, replies)]
+                refusal = refusals.log_odds(cut)
                 # a reply with a sentence clearly in another language than its main one is mixed, not wholly that language
                 langs_of = [[langs[k] for k in np.flatnonzero(row)] for row in mixed]
                 reply_lang = [",".join(x) if x else names[b] for x, b in zip(langs_of, best)]
                 prompt_lang = [str(names[b]) for b in first]
-            else:
-                copy = refusal = [None] * n
-                reply_lang, prompt_lang = [None] * n, [None] * n
-            yield pa.RecordBatch.from_arrays([
-                batch.column("row_id"), batch.column("doc_id"), batch.column("content_type"), pa.array(blank, pa.bool_()), pa.array(empty, pa.bool_()),
-                pa.array(refusal, pa.bool_()), pa.array(copy, pa.bool_()), pa.array(reply_lang, pa.string()), pa.array(prompt_lang, pa.string()),
-                pa.array(conf, pa.float64()), pa.array([len(r or "") for r in replies], pa.int32()), pa.array([len((r or "").encode("utf-8", "replace")) for r in replies], pa.int32()),
-                pa.array([prompt_state(p) for p in prompts], pa.int32()), pa.array(ends, pa.int32()),
-                pa.array(last, pa.string()),
-                pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-            ], schema=_ARROW)
-        if counts:
-            yield _token_batch(counts)
+            columns = [
+                batch.column("row_id"), batch.column("doc_id"), batch.column("content_type"), blank, empty, refusal, copy, reply_lang, prompt_lang, conf,
+                [len(r or "") for r in replies], [len((r or "").encode("utf-8", "replace")) for r in replies], [prompt_state(p) for p in prompts], ends, one, pair,
+                np.bincount(cut.doc[cut.sentence], minlength=n), np.bincount(cut.doc[cut.closed & ~cut.code & (cut.last > cut.first)], minlength=n),
+            ]
+            columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ARROW)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(_ARROW)[-3:])], schema=_ARROW)
+            if len(sums.keys) > HELD:
+                yield from _counts(sums)
+        yield from _counts(sums)
 
     return run
 
 
-def _count(counts: dict[str, list[int]], posteriors: Posteriors, ids: np.ndarray) -> None:
-    s, words = posteriors.sentences, posteriors.scores.vocabulary.words
-    size = FIRST_WORD + len(words)
-    every = np.bincount(ids, minlength=size)
-    closed = s.end[(s.end > s.start) & (s.kind == 2) & ~s.code]  # ended by a mark, not by the end of the text
-    final = np.bincount(ids[closed - 1], minlength=size)
-    for k in np.flatnonzero(every[FIRST_WORD:]) + FIRST_WORD:
-        c = counts.setdefault(words[k - FIRST_WORD], [0, 0])
-        c[0] += int(final[k])
-        c[1] += int(every[k])
-
-
-def _token_batch(counts: dict[str, list[int]]) -> pa.RecordBatch:
-    n = len(counts)
-    columns = [pa.nulls(n, f.type) for f in _ARROW]
-    columns[-3:] = [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+def _counts(sums: Sums) -> Iterator[pa.RecordBatch]:
+    for b in sums.sent(BUCKETS):
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(b.num_rows, f.type) for f in list(_ARROW)[:-3]), *b.columns], schema=_ARROW)
