@@ -1,10 +1,11 @@
 """Problem 7: a selection of documents with repeat counts whose token totals by source meet target weights.
 
-Method: each source's documents, in pseudorandom order, are packed into blocks of a fixed number of tokens, a
-document belonging to the block it begins in. Every output shard draws its count of slots of each source from a
-multinomial that is conditioned on the sources' totals. A source's slots are mapped through pseudorandom
-permutations of its block indexes, a fresh one for each pass over the source, and joined with the blocks by index.
-The last tokens of each quota are filled document by document from the blocks that come next.
+Method: each source's documents, in pseudorandom order, make one stream of tokens that is packed into blocks of a fixed
+length; a document belongs to the block it begins in. Every output shard draws its count of slots of each source from a
+multinomial that is conditioned on the sources' totals. The slots of a source are mapped through pseudorandom
+permutations of its block indexes, a fresh one for each pass over the source, and joined with the blocks by index: a
+document is chosen once for every slot of its block, in that slot's shard. The last tokens of each quota are filled
+document by document from the blocks that come next, in the last shard.
 
 The total is the largest at which every source with documents can meet its share without being repeated more than
 ``max_repeats`` times, unless a total is asked for; then sources fall short where their cap is reached.
@@ -28,8 +29,10 @@ from versoflow.session import materialize
 BLOCK_TOKENS, MAX_BLOCKS = 2048, 500_000
 #: Tokens of a bucket, the unit in which a source is laid out in order, about.
 BUCKET_TOKENS = 1_000_000
-#: Blocks behind the end of a quota among whose documents its last tokens are sought.
-FILL = 32
+#: Blocks behind the end of a quota among whose documents its last tokens are sought, at most, and their tokens, about.
+FILL, FILL_TOKENS = 32, 1_000_000
+#: Buckets whose offsets are summed by one task.
+GROUP = 4096
 SEED = 20240229
 
 
@@ -68,15 +71,19 @@ def slot_counts(slots: dict[str, int], shards: int, seed: int = SEED) -> list[tu
     return out
 
 
-def _permuted(index: str, salt: str):
-    """Pseudorandom permutation of a source's block indexes: their rank by a salted hash."""
-    return F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(index, salt, F.lit(SEED)), index)) - 1
+def _offsets(docs: DataFrame) -> DataFrame:
+    """source, bucket and the tokens of the source's buckets before it, by sums of groups of buckets."""
+    size = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("size")).withColumn("group", F.floor(F.col("bucket") / GROUP))
+    before = lambda *keys: Window.partitionBy("source", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = size.groupBy("source", "group").agg(F.sum("size").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before("group")), F.lit(0)))
+    inside = size.withColumn("inner", F.coalesce(F.sum("size").over(before("group", "bucket")), F.lit(0)))
+    return inside.join(groups.select("source", "group", "base"), ["source", "group"]).select("source", "bucket", (F.col("base") + F.col("inner")).alias("offset"))
 
 
 def mix(
     documents: DataFrame, targets: DataFrame, total: int | None = None, shards: int = 64, folder: str = TOKENIZERS, file: str = VOCABULARY
 ) -> DataFrame:
-    """doc_id, source, n_tokens and ``repeats`` (at least 1) of every chosen document."""
+    """doc_id, source, n_tokens, ``repeats`` (at least 1) and the shard of each repeat of every chosen document."""
     spark = documents.sparkSession
     keep = documents.select(F.col("doc_id").cast("long").alias("doc_id"), clean_source("source").alias("source"), "text").where("source is not null")
     wanted = targets.select(clean_source("source").alias("source"), "target_share", "max_repeats").groupBy("source").agg(
@@ -89,7 +96,7 @@ def mix(
     totals = {r.source: r.t for r in counts.join(F.broadcast(listed.select("source")), "source").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     quota = quotas(totals, plan, total)
     if not quota:
-        return counts.where("false").select("doc_id", "source", "n_tokens", F.lit(0).alias("repeats"), F.lit(0).alias("first_shard"))
+        return counts.where("false").select("doc_id", "source", "n_tokens", F.lit(0).alias("repeats"), F.array(F.lit(0)).alias("shards"))
     block = {s: max(BLOCK_TOKENS, -(-totals[s] // MAX_BLOCKS)) for s in quota}
     sources = spark.createDataFrame(
         [(s, quota[s], block[s], max(1, totals[s] // BUCKET_TOKENS), cap) for s, _, cap in plan if s in quota],
@@ -98,34 +105,44 @@ def mix(
     docs = counts.join(F.broadcast(sources), "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("buckets")))
     # documents in pseudorandom order, a bucket at a time; the buckets of a source follow one another
     inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    docs = docs.withColumn("begins", F.sum("n_tokens").over(inside) - F.col("n_tokens")).withColumn("part", F.floor(F.col("begins") / F.col("block")))
-    docs = materialize(docs.select("source", "bucket", "part", "begins", "doc_id", "n_tokens"))
-    numbered = Window.partitionBy("source").orderBy("bucket", "part")
-    blocks = docs.groupBy("source", "bucket", "part").agg(F.sum("n_tokens").alias("tokens")).withColumn("block_no", F.row_number().over(numbered) - 1)
-    blocks = materialize(blocks)
+    docs = docs.withColumn("inner", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(_offsets(docs), ["source", "bucket"])
+    begins = F.col("offset") + F.col("inner")
+    docs = materialize(docs.select("source", begins.alias("begins"), F.floor(begins / F.col("block")).cast("long").alias("block_no"), "doc_id", "n_tokens"))
+    # one row a block in which a document begins: at most MAX_BLOCKS a source, so windows over a source's blocks are bounded
+    blocks = materialize(docs.groupBy("source", "block_no").agg(F.sum("n_tokens").alias("tokens")))
     have = {r.source: (r.n, r.t) for r in blocks.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect()}
     passes = {s: quota[s] // have[s][1] for s in quota}
     rest = {s: quota[s] - passes[s] * have[s][1] for s in quota}
-    told = spark.createDataFrame([(s, int(passes[s]), int(rest[s]), int(passes[s] * have[s][0])) for s in quota], "source string, passes bigint, rest bigint, base bigint")
-    # whole passes over a source, then a pass of which as many blocks are taken as the rest of its quota holds
-    slots = blocks.join(F.broadcast(told), "source").withColumn("slot", _permuted("block_no", "passes"))
-    reached = F.sum("tokens").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
-    slots = materialize(slots.withColumn("reached", reached).withColumn("full", F.col("reached") <= F.col("rest")))
-    ended = {r.source: (r.n, r.t) for r in slots.where("full").groupBy("source").agg(F.count("*").alias("n"), F.max("reached").alias("t")).collect()}
-    ends = [(s, ended.get(s, (0, 0))[0], rest[s] - ended.get(s, (0, 0))[1]) for s in quota]
-    draws = slot_counts({s: passes[s] * have[s][0] + n for s, n, _ in ends}, shards)
-    shard_of = F.broadcast(spark.createDataFrame([(sh, s, a, a + n) for sh, s, a, n in draws], "shard int, source string, first bigint, behind bigint"))
-    at = F.col("slot") + F.col("base")
-    taken = slots.where("full").join(shard_of, (slots["source"] == shard_of["source"]) & (at >= F.col("first")) & (at < F.col("behind")), "left")
-    taken = taken.select(slots["source"], "bucket", "part", "shard", F.lit(1).alias("extra"))
-    chosen = docs.join(taken, ["source", "bucket", "part"], "left").join(F.broadcast(told.select("source", "passes")), "source")
-    # the last tokens of a quota are filled document by document from the next FILL blocks: a bounded number of rows
-    near = slots.join(F.broadcast(spark.createDataFrame(ends, "source string, ended bigint, room bigint")), "source")
-    near = near.where((F.col("slot") >= F.col("ended")) & (F.col("slot") < F.col("ended") + FILL) & (F.col("room") > 0)).select("source", "bucket", "part", "slot", "room")
-    filled = docs.join(near, ["source", "bucket", "part"]).groupBy("source").applyInPandas(_fill, "source string, doc_id bigint, bucket bigint, begins bigint, filled int")
-    chosen = chosen.join(filled, ["source", "bucket", "begins", "doc_id"], "left")
-    repeats = F.col("passes") + F.coalesce("extra", "filled", F.lit(0))
-    return chosen.select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats"), F.col("shard").alias("first_shard")).where("repeats > 0")
+    told = spark.createDataFrame([(s, int(passes[s]), int(rest[s]), have[s][0]) for s in quota], "source string, passes bigint, rest bigint, n bigint")
+    # a slot for every block and pass, in the order of that pass's permutation; of the last pass as many as its quota holds
+    slots = blocks.join(F.broadcast(told), "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
+    order = Window.partitionBy("source", "pass").orderBy(F.xxhash64("block_no", "pass", F.lit(SEED)), "block_no")
+    reached = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    slots = slots.withColumn("at", F.row_number().over(order) - 1).withColumn("reached", reached)
+    slots = slots.withColumn("slot", F.col("pass") * F.col("n") + F.col("at")).withColumn("full", (F.col("pass") < F.col("passes")) | (F.col("reached") <= F.col("rest")))
+    slots = materialize(slots.select("source", "block_no", "slot", "full", "pass", "passes", "reached"))
+    ended = {r.source: (r.n, r.t or 0) for r in slots.where("full").groupBy("source").agg(F.count("*").alias("n"), F.max(F.when(F.col("pass") == F.col("passes"), F.col("reached"))).alias("t")).collect()}
+    ends = [(s, ended.get(s, (0, 0))[0], rest[s] - ended.get(s, (0, 0))[1], max(1, min(FILL, FILL_TOKENS // block[s]))) for s in quota]
+    draws = slot_counts({s: n for s, n, _, _ in ends}, shards)
+    first: dict[str, list[int]] = {s: [] for s in quota}
+    for shard in range(shards):
+        for s in quota:
+            mine = [a for sh, x, a, _ in draws if sh == shard and x == s]
+            first[s].append(mine[0] if mine else -1)
+    for s in quota:  # where a shard has no slot of a source, the next one's first slot stands for it
+        nxt = ended.get(s, (0, 0))[0]
+        for shard in range(shards - 1, -1, -1):
+            nxt = first[s][shard] = first[s][shard] if first[s][shard] >= 0 else nxt
+    starts = F.broadcast(spark.createDataFrame(list(first.items()), "source string, starts array<bigint>"))
+    taken = slots.where("full").join(starts, "source").withColumn("shard", F.size(F.filter("starts", lambda x: x <= F.col("slot"))) - 1)
+    chosen = docs.join(taken.select("source", "block_no", "shard"), ["source", "block_no"]).select("doc_id", "source", "n_tokens", "shard")
+    # the last tokens of a quota are filled document by document from the next blocks: a bounded number of tokens
+    near = slots.join(F.broadcast(spark.createDataFrame(ends, "source string, ended bigint, room bigint, fill bigint")), "source")
+    near = near.where((F.col("slot") >= F.col("ended")) & (F.col("slot") < F.col("ended") + F.col("fill")) & (F.col("room") > 0)).select("source", "block_no", "slot", "room")
+    filled = docs.join(near, ["source", "block_no"]).groupBy("source").applyInPandas(_fill, "doc_id bigint, source string, n_tokens bigint, shard int")
+    filled = filled.withColumn("shard", F.lit(shards - 1))
+    chosen = chosen.unionByName(filled).groupBy("doc_id", "source", "n_tokens")
+    return chosen.agg(F.count("*").cast("int").alias("repeats"), F.array_sort(F.collect_list("shard")).alias("shards"))
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +153,7 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
         if n <= room:
             room -= n
             kept.append(i)
-    return pdf.loc[kept, ["source", "doc_id", "bucket", "begins"]].assign(filled=1)
+    return pdf.loc[kept, ["doc_id", "source", "n_tokens"]].assign(shard=0)
 
 
 def share_report(selection: DataFrame, targets: DataFrame) -> DataFrame:

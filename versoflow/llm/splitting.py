@@ -4,7 +4,8 @@ Method: lexical-cohesion segmentation. At every boundary the words of a block of
 with those of a block behind it; valleys of this similarity mark changes of topic. In the window of sizes that a
 piece may have, the deepest valley is chosen, where higher boundaries (chapter, paragraph, line) count as deeper;
 without a sentence boundary the cut falls at a word-like boundary, else between visible characters. Each further
-piece starts with ``overlap_chars`` of the piece before it, a little more if that start lay inside a character.
+piece starts with ``overlap_chars`` of the piece before it (all of it if it is shorter, and at most one less than the
+limit), more if that start lay inside a visible character, as far as the limit leaves room for it.
 
 Defined results: null and fitting values have no pieces. Fields without a limit are ignored; of repeated limits
 of a field the smallest holds. The new parts of the pieces, joined in order, are the text again. A visible
@@ -35,6 +36,7 @@ _CUT = re.compile(
 )
 _CHAPTER = re.compile(r"#{1,6} |(?:chapter|kapitel|chapitre|capítulo)\s+\w+|第.{1,6}[章节節]", re.I)
 _WORDLIKE = re.compile(r"\s+|[，、；：,;:)\]）】」』»]+\s*")
+_CHARACTER = regex.compile(r"\X")
 _WORDS = re.compile(r"[㐀-鿿]{1,2}|[^\W\d_]{3,}")
 
 
@@ -77,19 +79,18 @@ def valley_depths(text: str, places: list[int]) -> list[float]:
 
 def _visible(text: str, start: int, end: int) -> list[int]:
     """Ends of the visible characters of text[start:end], reading on from a boundary at start."""
-    out, at = [], start
-    for m in regex.finditer(r"\X", text[start : end + 64]):
-        at = start + m.end()
-        if at > end:
+    out = []
+    for m in _CHARACTER.finditer(text, start):
+        if m.end() > end:
             break
-        out.append(at)
+        out.append(m.end())
     return out
 
 
 def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
     """(start, where new text starts, end, rank of the end) of the pieces of a text longer than the limit."""
     limit = max(1, limit)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     marks = boundaries(text)
     places = [p for p, _ in marks]
     depths = valley_depths(text, places) if marks else []
@@ -126,9 +127,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]
         start = max(new - overlap, piece_start + 1) if overlap else new
         if 0 < start < new:
             # never start inside a visible character: step back to the last boundary at or before the start
-            floor = max(piece_start, start - 64)
-            ends = [floor, *_visible(text, floor, start)]
-            moved = ends[-1]
+            moved = [piece_start, *_visible(text, piece_start, start)][-1]
             if moved + limit > new and moved > piece_start:
                 start = moved
     return out

@@ -2,14 +2,17 @@
 
 Method: latent Dirichlet topics are fitted over all documents by distributed batch updates (zero-order collapsed
 variational inference): workers share each document's words among the topics by the topics' word probabilities and
-the document's proportions, and the expected counts are summed over the cluster. Topics start from the words that
-labelled documents over-use, and from the corpus as a whole. After fitting, each topic's top terms are inspected:
-it is mapped to the subject whose labelled documents use them most, or to none. A document's proportion of a
-subject is the share of its units (sentences, lines, list entries) that have a word of the subject's topics; the
-subject is assigned above a cut that is calibrated on the labelled documents.
+the document's proportions, and the expected counts are summed over the cluster as sparse sums of (word, topic). Each
+subject's topic starts from the words that its labelled documents over-use, the topics of everyday words from all others;
+fitting moves words between them by the documents that they are in. After it, the top terms of every
+topic are inspected: it is mapped to the subject whose labelled documents use them most, or to none. A document's
+proportion of a subject is the share of its units (sentences, lines, list entries) that have a word which the document's
+topic proportions give to a topic of the subject; the subject is assigned above a cut calibrated on the labelled documents.
 
 Labels may be wrong: they only start the topics, name them, and calibrate one number, from at most LABELLED of them.
-The vocabulary is bounded by TERMS; terms of few books are left out, as names are.
+Terms of few documents or few books are left out, as names are; a document without a book counts as a book of its own.
+Words are numbered by 32 bits of a hash; the vocabulary is broadcast, and bounded by TERMS: beyond, the terms of the
+fewest documents have no topic.
 
 Defined results: null, empty and wordless texts have no subject. Repeated documents count each for itself; labels of
 unknown documents, unknown subjects and null labels are ignored; repeated labels count once.
@@ -27,32 +30,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versoflow.llm.cutting import HAN, KATAKANA, LATIN, Cut, distinct, paired, slices
+from versoflow.llm.sums import Sums, pack, total_of, unpack
 from versoflow.llm.textkit import sentences
 from versoflow.session import materialize
 
-#: Bounds: labelled documents used, terms of the vocabulary, terms of one block of the sums.
-LABELLED, TERMS, BLOCK = 40_000, 60_000, 4096
+#: Bounds: labelled documents used, terms of the vocabulary.
+LABELLED, TERMS = 40_000, 500_000
 #: Topics beside those that start from the subjects; rounds over the corpus; rounds within a document.
-BACKGROUND, ROUNDS, INNER = 6, 5, 6
+BACKGROUND, ROUNDS, INNER = 6, 8, 4
 #: Dirichlet priors of documents' topics and of topics' words.
 ALPHA, BETA = 0.1, 0.01
-#: A term must be in at least so many documents and, about, in this share of all books (and in three).
+#: A term must be in at least so many documents and, about, in this share of all books (and in two).
 LEAST_DOCS, BOOK_SHARE = 4, 0.006
-#: Slots that languages are counted in, by hash.
-LANG_SLOTS = 16
+#: Slots that books and languages are counted in, by hash.
+BOOK_SLOTS, LANG_SLOTS = 1024, 16
 #: Standard deviations by which a word's labelled count must exceed what is expected to start a subject's topic.
 CLEAR = 2.5
 #: A topic is a subject's if its top terms fall to that subject's labelled documents by at least this share.
 PURE = 0.45
-#: Of the terms inspected, those that fall to a subject's labelled documents by less than this share don't speak for it.
-TERM_PURE = 0.35
-#: Least probability that a word is of a subject's topic to make its unit one of the subject.
+#: Least probability that a word is of a subject's topics to make its unit one of the subject.
 SURE = 0.5
 TOP_TERMS = 40
 #: Cut for a document's share of a subject without enough labels, and the range in which it is calibrated.
 CUTS = (0.2, 0.18, 0.25)
+#: Buckets of the sums, expected counts' grain, and sums that a worker holds.
+BUCKETS, GRAIN, HELD = 64, 64, 3_000_000
 
-_WORD = re.compile(r"[㐀-鿿々]+|[゠-ヿ]{2,}|[^\W\d_㐀-鿿々぀-ヿ]{3,}")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
 _JSON_END = re.compile(r'"\s*[,}\]]')
 _JSON_KEY = re.compile(r'"\w+"\s*:\s*(?:-?\d+(?:\.\d+)?\s*,?)?')
@@ -60,10 +64,10 @@ _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _WRAPPED = re.compile(r"(?<=[^\s.!?…。！？:：>*|#-])-?\n(?=[^\W\d_][^\n]*)")
 
 
-def units(text: str | None) -> list[str]:
-    """The sentences, lines and list entries of a document; wrapped lines are joined, markup and JSON taken apart."""
+def prepared(text: str | None) -> str | None:
+    """The text with its units as sentences: wrapped lines joined, markup and JSON taken apart."""
     if not text:
-        return []
+        return text
     head = text.lstrip()[:8]
     if head.startswith(("[", "{", "```")) or '"translation"' in text:
         text = _ESCAPED.sub(lambda m: chr(int(m[1], 16)), text)
@@ -73,7 +77,12 @@ def units(text: str | None) -> list[str]:
     if "\n" in text and _is_wrapped(text):
         text = re.sub(r"(?<=\w)-\n(?=\w)", "", text)
         text = _WRAPPED.sub(" ", text)
-    return sentences(text)
+    return text
+
+
+def units(text: str | None) -> list[str]:
+    """The sentences, lines and list entries of a document."""
+    return sentences(prepared(text))
 
 
 def _is_wrapped(text: str) -> bool:
@@ -85,245 +94,280 @@ def _is_wrapped(text: str) -> bool:
     return len(opened) >= 0.4 * (len(lines) - 1) and max(map(len, opened)) <= 100 and sum(map(len, opened)) / len(opened) > 30
 
 
-def terms(unit: str) -> list[str]:
-    """Words of a unit; runs of Han characters give their pairs of neighbours."""
-    out = []
-    for w in _WORD.findall(unit.lower()):
-        if "㐀" <= w[0] <= "鿿":
-            if len(w) == 1:
-                out.append(w)
-            else:
-                out += [w[k : k + 2] for k in range(len(w) - 1)]
-        else:
-            out.append(w)
-    return out
+class Units:
+    """Terms of a batch of documents: ``doc``, ``unit`` (numbered through the batch) and ``term`` of each, once a unit; and
+    the number of units of each document. Terms are Latin words of three letters or more, runs of two katakana or more,
+    pairs of neighbouring Han characters and single ones that stand alone."""
 
+    def __init__(self, texts: list[str | None]) -> None:
+        cut = Cut([prepared(t) for t in texts], han=1)
+        han = cut.script == HAN
+        joins = han[1:] & han[:-1] & (cut.begin[1:] == cut.stop[:-1])
+        before, after = np.concatenate(([False], joins)), np.concatenate((joins, [False]))[: len(han)]
+        key = cut.key.copy()
+        at = np.flatnonzero(after)
+        key[at] = paired(cut.key[at], cut.key[at + 1])
+        length = cut.stop - cut.begin
+        keep = np.where(han, after | ~before[: len(han)], ((cut.script == LATIN) & (length >= 3)) | ((cut.script == KATAKANA) & (length >= 2)))
+        # units with letters; those without terms count too
+        live = np.flatnonzero(cut.last > cut.first)
+        number = np.full(len(cut.start), -1)
+        number[live] = np.arange(len(live))
+        self.units = np.bincount(cut.doc[live], minlength=cut.docs)
+        once = distinct((number[cut.sentence[keep]].astype(np.uint64) << np.uint64(32)) | (key[keep] >> np.uint64(32)))
+        self.unit, self.term = (once >> np.uint64(32)).astype(np.int64), once & np.uint64(0xFFFFFFFF)
+        self.doc = np.repeat(np.arange(cut.docs), self.units)[self.unit]
 
-def _statistics_mapper(labels):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n_subjects = labels.value
-        table: dict[str, list] = {}
-        for batch in batches:
-            for doc_id, book, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "book_id", "lang", "text"))):
-                slot = 2 + n_subjects + (zlib.crc32(lang.encode()) % LANG_SLOTS if lang else LANG_SLOTS)
-                bit = 1 << (zlib.crc32(str(book).encode()) % 62) if book is not None else 0
-                of = known.get(doc_id, ())
-                for t in {t for u in units(text) for t in terms(u)}:
-                    c = table.get(t)
-                    if c is None:
-                        c = table[t] = [0, 0, *([0] * (n_subjects + LANG_SLOTS + 1))]
-                    c[0] += 1
-                    c[1] |= bit
-                    c[slot] += 1
-                    for s in of:
-                        c[2 + s] += 1
-            if len(table) > 200_000:
-                yield _statistics_batch(table)
-                table = {}
-        yield _statistics_batch(table)
 
-    return run
+ENCODED = "doc_ids binary, units binary, unit binary, term binary, vocabulary binary, bucket int, keys binary, sums binary"
+_ARROW = pa.schema([(n, pa.int32() if t == "int" else pa.binary()) for n, t in (x.split() for x in ENCODED.split(", "))])
 
 
-def _statistics_batch(table: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(table), pa.string()), pa.array([c[0] for c in table.values()], pa.int64()), pa.array([c[1] for c in table.values()], pa.int64()),
-         pa.array([c[2:] for c in table.values()], pa.list_(pa.int64()))],
-        ["term", "docs", "books", "labelled"],
-    )
+def _rows(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _ARROW], schema=_ARROW)
 
 
-def _encode_mapper(vocabulary):
-    """doc_id -> term numbers, and the unit of each (the number of units comes first)."""
+def _encode_mapper(shared):
+    """Slices of documents as arrays; and for each term how many documents have it, by slots of books and of languages, and
+    how many labelled documents of each subject."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = vocabulary.value
-        for batch in batches:
-            words, places, counts = [], [], []
-            for text in batch.column("text").to_pylist():
-                parts = units(text)
-                w, p, n = [], [], 0
-                for part in parts:
-                    found = [index[t] for t in terms(part) if t in index]
-                    if found or any(c.isalpha() for c in part):
-                        w += found
-                        p += [n] * len(found)
-                        n += 1
-                words.append(np.array(w, dtype=np.int32).tobytes())
-                places.append(np.array(p, dtype=np.int32).tobytes())
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(words, pa.binary()), pa.array(places, pa.binary())], ["doc_id", "n_units", "words", "places"]
-            )
+        known = shared.value
+        sums = Sums()
+        sent = lambda: (_rows({c: b.column(c) for c in b.schema.names}) for b in sums.sent(BUCKETS))
+        for batch, (texts,) in slices(batches, ("text",)):
+            u = Units(texts)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            vocabulary = distinct(u.term)
+            local = np.searchsorted(vocabulary, u.term)
+            once = distinct(u.doc * max(1, len(vocabulary)) + local)
+            doc, term = once // max(1, len(vocabulary)), vocabulary[once % max(1, len(vocabulary))] << np.uint64(32)
+            slot = np.array([_slot(b, d) + (BOOK_SLOTS * (zlib.crc32(g.encode()) % LANG_SLOTS) if g else BOOK_SLOTS * LANG_SLOTS) for b, d, g in zip(
+                batch.column("book_id").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist())], dtype=np.uint64)
+            sums.add(term | slot[doc])
+            mine = [(k, s) for k, d in enumerate(ids.tolist()) for s in known.get(d, ())]
+            for k, s in mine:
+                a, b = np.searchsorted(doc, (k, k + 1))
+                sums.add(term[a:b] | np.uint64((1 << 24) + s))
+            packed = {"doc_ids": (ids, np.int64), "units": (u.units, np.int32), "unit": (np.diff(u.unit, prepend=0), np.int32), "term": (local, np.int32), "vocabulary": (vocabulary, np.uint32)}
+            yield _rows({n: pa.array([pack(a, t)], pa.binary()) for n, (a, t) in packed.items()})
+            if len(sums.keys) > HELD:
+                yield from sent()
+        yield from sent()
 
     return run
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a batch: their document, number and unit (numbered through the batch); first unit of each document."""
-    words = [np.frombuffer(x, dtype=np.int32) for x in batch.column("words").to_pylist()]
-    places = [np.frombuffer(x, dtype=np.int32) for x in batch.column("places").to_pylist()]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    units_of = batch.column("n_units").to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.concatenate(([0], np.cumsum(units_of)))
-    doc = np.repeat(np.arange(len(words)), n)
-    flat = np.concatenate(words) if words else np.zeros(0, dtype=np.int32)
-    unit = (np.concatenate(places) if places else np.zeros(0, dtype=np.int32)) + first[doc]
-    return doc, flat, unit, first
-
-
-def infer(doc: np.ndarray, word: np.ndarray, docs: int, phi: np.ndarray, rounds: int = INNER) -> np.ndarray:
-    """Topic shares of each word (row a word), with the documents' proportions found by fixed-point rounds."""
-    k = phi.shape[0]
-    like = phi.T[word]
-    share = like / np.maximum(like.sum(axis=1, keepdims=True), 1e-30)
-    for _ in range(rounds):
-        theta = np.stack([np.bincount(doc, share[:, j], minlength=docs) for j in range(k)], axis=1) + ALPHA
-        share = like * theta[doc]
-        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
-    return share
+def _slot(book: int | None, doc: int | None) -> int:
+    """Slot of a document's book; one without a book has its own."""
+    return zlib.crc32((f"b{book}" if book is not None else f"d{doc}").encode()) % BOOK_SLOTS
+
+
+def _statistics(n_subjects: int, least_spread: float, most_docs: float):
+    """term, docs, lang, labelled counts of the terms of a bucket that are in enough documents and books."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, sums = total_of(zip(pdf["keys"], pdf["sums"]))
+        term, low = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        head = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, dtype=np.int64)
+        of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(term))))
+        plain, size = low < 1 << 24, len(head)
+        docs = np.bincount(of[plain], sums[plain], minlength=size)
+        slots = distinct(of[plain] * BOOK_SLOTS + low[plain] % BOOK_SLOTS) // BOOK_SLOTS
+        filled = np.minimum(np.bincount(slots, minlength=size), BOOK_SLOTS - 1)
+        spread = -BOOK_SLOTS * np.log(1 - filled / BOOK_SLOTS)  # books, by linear counting
+        lang = np.bincount(of[plain] * (LANG_SLOTS + 1) + low[plain] // BOOK_SLOTS, sums[plain], minlength=size * (LANG_SLOTS + 1)).reshape(size, -1)
+        labelled = np.bincount(of[~plain] * max(1, n_subjects) + low[~plain] - (1 << 24), sums[~plain], minlength=size * max(1, n_subjects)).reshape(size, -1)
+        keep = (docs >= LEAST_DOCS) & (docs <= most_docs) & (spread >= least_spread)
+        return pd.DataFrame({
+            "term": term[head][keep].astype(np.int64), "docs": docs[keep].astype(np.int64), "lang": lang[keep][:, :LANG_SLOTS].argmax(axis=1).astype(np.int64),
+            "labelled": list(labelled[keep].astype(np.int64)),
+        })
 
+    return run
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+
+class Batch:
+    """A slice of encoded documents, with the terms of the vocabulary only (``word``: their numbers in it)."""
+
+    def __init__(self, row: dict[str, bytes], vocabulary: np.ndarray) -> None:
+        get = lambda n, t: unpack(row[n], t)
+        self.ids, self.units = get("doc_ids", np.int64), get("units", np.int32).astype(np.int64)
+        unit, local, held = np.cumsum(get("unit", np.int32), dtype=np.int64), get("term", np.int32), get("vocabulary", np.uint32)
+        at = np.minimum(np.searchsorted(vocabulary, held), max(0, len(vocabulary) - 1))
+        number = np.where(vocabulary[at] == held, at, -1) if len(vocabulary) else np.full(len(held), -1)
+        word = number[local] if len(local) else np.zeros(0, dtype=np.int64)
+        keep = word >= 0
+        self.unit, self.word = unit[keep], word[keep]
+        self.owner = np.repeat(np.arange(len(self.units)), self.units)
+
+    def counted(self, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, word and number of units of every word of every document, by document."""
+        key = np.sort(self.owner[self.unit] * max(1, terms) + self.word)
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else key
+        return key[head] // max(1, terms), key[head] % max(1, terms), np.diff(np.append(head, len(key)))
+
+
+def _batches(rows: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[Batch]:
+    for part in rows:
+        for row in part.to_pylist():
+            yield Batch(row, vocabulary)
+
+
+def infer(doc: np.ndarray, word: np.ndarray, count: np.ndarray, docs: int, phi: np.ndarray, rounds: int = INNER) -> tuple[np.ndarray, np.ndarray]:
+    """Topic shares of each word (a column a word), with the documents' proportions found by fixed-point rounds; and these."""
+    like = phi[:, word]
+    head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else doc
+    n = np.diff(np.append(head, len(doc)))
+    count = count.astype(np.float32)
+    share = like / np.maximum(like.sum(axis=0), 1e-30)
+    theta = np.zeros((len(phi), len(head)), dtype=np.float32)
+    for _ in range(rounds):
+        theta = np.add.reduceat(share * count, head, axis=1) + np.float32(ALPHA) if len(head) else theta
+        share = like * np.repeat(theta, n, axis=1)
+        share /= np.maximum(share.sum(axis=0), 1e-30)
+    full = np.full((len(phi), docs), ALPHA, dtype=np.float32)
+    full[:, doc[head]] = theta
+    return share, full
 
 
 def _update_mapper(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phi = model.value
-        sums = np.zeros_like(phi)
-        for batch in _slices(batches):
-            doc, word, _, _ = _flat(batch)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, phi = model.value
+        sums = np.zeros((len(phi), len(vocabulary)))
+        for batch in _batches(rows, vocabulary):
+            doc, word, count = batch.counted(len(vocabulary))
             if len(word):
-                share = infer(doc, word, batch.num_rows, phi)
-                for j in range(len(phi)):
-                    sums[j] += np.bincount(word, share[:, j], minlength=phi.shape[1])
-        blocks = range(0, phi.shape[1], BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(blocks), pa.int64()), pa.array([sums[:, b : b + BLOCK].astype(np.float64).tobytes() for b in blocks], pa.binary())], ["block", "sums"]
-        )
+                share, _ = infer(doc, word, count, len(batch.units), phi)
+                share *= count
+                used = distinct(word)
+                at = np.searchsorted(used, word)
+                for k in range(len(phi)):
+                    sums[k, used] += np.bincount(at, share[k], minlength=len(used))
+        units = np.round(sums * GRAIN).astype(np.int64)
+        topic, word = np.nonzero(units)
+        total = Sums()
+        total.add(*_ascending((word.astype(np.uint64) << np.uint64(32)) | topic.astype(np.uint64), units[topic, word]))
+        yield from total.sent(BUCKETS)
 
     return run
 
 
-def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.float64) for x in pdf["sums"])
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "sums": [total.tobytes()]})
+def _ascending(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
-def _normalised(sums: np.ndarray) -> np.ndarray:
-    sums = sums + BETA
-    return sums / sums.sum(axis=1, keepdims=True)
+def _topic_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys, sums = total_of(zip(pdf["keys"], pdf["sums"]))
+    return pd.DataFrame({"word": (keys >> np.uint64(32)).astype(np.int64), "topic": (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), "n": sums / GRAIN})
 
 
-def _background(words: list[str], docs: np.ndarray) -> np.ndarray:
-    """Starts of the topics of no subject: the first of kana and single Han characters, the second of Han pairs, the
-    others of Latin words with random weights, so that every script's everyday words have a topic to go to. Words that
-    start a subject's topic are left to it."""
-    kana = np.array(["぀" <= w[0] <= "ヿ" or len(w) == 1 for w in words])
-    han = np.array(["㐀" <= w[0] <= "鿿" and len(w) > 1 for w in words])
-    out = np.tile(docs, (BACKGROUND, 1)) * np.random.default_rng(7).gamma(2.0, 0.5, (BACKGROUND, len(words)))
-    out[0] = docs * (kana + 0.3 * han)
-    out[1] = docs * han
-    out[2:, kana | han] = 0
-    return out
+def _normalised(sums: np.ndarray) -> np.ndarray:
+    sums = sums + BETA
+    return (sums / sums.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 class Model:
-    """Fitted topics: word probabilities, the subject of each topic (-1 none), and the top terms that decided it."""
+    """Fitted topics: terms, word probabilities, the subject of each topic (-1 none), and the weights of terms in the
+    inspection of the top ones."""
 
-    def __init__(self, words: list[str], phi: np.ndarray, subject: np.ndarray, names: list[str], weight: np.ndarray, speaks: np.ndarray) -> None:
-        self.words, self.phi, self.subject, self.names, self.weight, self.speaks = words, phi, subject, names, weight, speaks
+    def __init__(self, terms: np.ndarray, phi: np.ndarray, subject: np.ndarray, names: list[str], weight: np.ndarray) -> None:
+        self.terms, self.phi, self.subject, self.names, self.weight = terms, phi, subject, names, weight
         self.cut = CUTS[0]
 
-    def top_terms(self, topic: int, n: int = 10) -> list[str]:
-        return [self.words[k] for k in np.argsort(-self.phi[topic] * self.weight)[:n]]
+    def top_terms(self, topic: int, n: int = 10) -> list[int]:
+        return [int(self.terms[k]) for k in np.argsort(-self.phi[topic] * self.weight)[:n]]
+
 
+def _starts(labelled: np.ndarray, language: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Words that the topics start from: for each subject the words that its labelled documents over-use beyond chance; for
+    the topics of everyday words all others, with random weights by which they come apart.
 
-def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[Model, DataFrame, dict[int, tuple[int, ...]]]:
+    What is expected of a word goes by how the labelled words of its language fall to the subjects, since the labelled
+    documents of a subject need not have the languages of the others.
+    """
+    s, v = labelled.shape
+    expected = np.zeros_like(labelled)
+    for k in np.unique(language):
+        mine = labelled[:, language == k]
+        expected[:, language == k] = mine.sum(axis=0) * ((mine.sum(axis=1) + 1) / (mine.sum() + s))[:, None]
+    lift = (labelled + 0.02) / (expected + 0.02 * max(1, s))
+    clear = (labelled - expected) / np.sqrt(np.maximum(expected, 0.25))
+    strength = np.where((lift > 1.5) & (clear >= CLEAR) & (labelled >= 2), labelled * np.log(np.maximum(lift, 1.0)), 0.0)
+    seeds = np.where(strength > 0, docs, 0.0)
+    # everyday words of each language start in its own topics
+    background = np.zeros((BACKGROUND, v))
+    random = np.random.default_rng(7).gamma(2.0, 0.5, (BACKGROUND, v))
+    background[:] = docs * random * (seeds.max(axis=0, initial=0) == 0)
+    home = language % BACKGROUND
+    background *= np.where(np.arange(BACKGROUND)[:, None] == home, 1.0, 0.05)
+    return np.concatenate((seeds, background))
+
+
+def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame, dict[int, tuple[int, ...]]]:
     """The model, the encoded documents (in the shared folder), and the labels used."""
     spark = documents.sparkSession
-    names = sorted(r.subject for r in subjects.where("subject is not null").select("subject").distinct().limit(1000).collect())
+    names = sorted(r.subject for r in subjects.where("subject is not null").select("subject").distinct().collect())  # configuration
     number = {s: k for k, s in enumerate(names)}
     some = labels.where("doc_id is not null and subject is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "subject").distinct()
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(LABELLED).collect()
     known: dict[int, tuple[int, ...]] = {}
-    for r in rows:
+    for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(LABELLED).collect():
         if r.subject in number:
             known[r.doc_id] = (*known.get(r.doc_id, ()), number[r.subject])
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("book_id").cast("long").alias("book_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast((known, len(names)))
-    stats = docs.mapInArrow(_statistics_mapper(shared), "term string, docs bigint, books bigint, labelled array<bigint>")
-    sums = [F.sum(F.get("labelled", F.lit(k))).alias(f"s{k}") for k in range(len(names) + LANG_SLOTS)]
-    total = stats.groupBy("term").agg(F.sum("docs").alias("docs"), F.bit_or("books").alias("books"), *sums)
-    n_docs = max(1, docs.count())
-    n_books = max(1, docs.agg(F.approx_count_distinct("book_id")).first()[0])
-    # books that a term is in, by linear counting over 62 bits
-    filled = F.least(F.bit_count("books"), F.lit(61))
-    spread = -62.0 * F.log(1 - filled / F.lit(62.0))
-    kept = total.where((F.col("docs") >= LEAST_DOCS) & (F.col("docs") <= 0.5 * n_docs) & (spread >= min(120.0, max(2.5, BOOK_SHARE * n_books))))
-    table = kept.orderBy(F.desc("docs"), "term").limit(TERMS).toPandas()
-    words = table["term"].tolist()
-    v, s = len(words), len(names)
-    by_subject = table[[f"s{k}" for k in range(s)]].to_numpy(float).T if v else np.zeros((s, 0))
-    n_of = np.array([max(1, sum(k in x for x in known.values())) for k in range(s)], dtype=float)
-    rate = (by_subject + 0.02) / n_of[:, None]
-    # what is expected of a word goes by how the labelled words of its language fall to the subjects, since the
-    # labelled documents of a subject need not have the languages of the others
-    language = table[[f"s{s + k}" for k in range(LANG_SLOTS)]].to_numpy(float).argmax(axis=1) if v else np.zeros(0, dtype=int)
-    expected = np.zeros_like(by_subject)
-    for k in np.unique(language):
-        mine = by_subject[:, language == k]
-        expected[:, language == k] = mine.sum(axis=0) * ((mine.sum(axis=1) + 1) / (mine.sum() + s))[:, None]
-    lift = (by_subject + 0.02) / (expected + 0.02 * max(1, s))
-    # only words over-used beyond chance start a topic
-    clear = (by_subject - expected) / np.sqrt(np.maximum(expected, 0.25)) >= CLEAR
-    seeds = np.where((lift > 1.5) & clear & (by_subject >= 2), by_subject * np.log(np.maximum(lift, 1.0)), 0.0)
-    background = _background(words, table["docs"].to_numpy(float)) * (seeds.max(axis=0, initial=0) == 0) if v else np.zeros((BACKGROUND, 0))
-    phi = _normalised(np.concatenate((seeds, background)))
-    index = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
-    encoded = materialize(docs.mapInArrow(_encode_mapper(index), "doc_id bigint, n_units int, words binary, places binary"))
-    for _ in range(ROUNDS if v else 0):
-        current = spark.sparkContext.broadcast(phi)
-        parts = encoded.mapInArrow(_update_mapper(current), "block bigint, sums binary").groupBy("block").applyInPandas(_sum_blocks, "block bigint, sums binary").collect()
-        got = np.zeros_like(phi)
-        for r in parts:
-            got[:, r.block : r.block + BLOCK] = np.frombuffer(r.sums, dtype=np.float64).reshape(len(phi), -1)
-        phi = _normalised(got)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("book_id").cast("long").alias("book_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    both = materialize(docs.mapInArrow(_encode_mapper(spark.sparkContext.broadcast(known)), ENCODED))
+    encoded = both.where("bucket is null").select("doc_ids", "units", "unit", "term", "vocabulary")
+    size = docs.agg(F.count("*").alias("n"), F.approx_count_distinct(F.coalesce(F.col("book_id"), -1 - F.col("doc_id"))).alias("b")).first()
+    n_docs, n_books = max(1, size.n), max(1, size.b)
+    spread = min(0.5 * BOOK_SLOTS, max(1.5, BOOK_SHARE * n_books))
+    statistics = _statistics(len(names), spread, 0.5 * n_docs)
+    kept = both.where("bucket is not null").select("bucket", "keys", "sums").groupBy("bucket").applyInPandas(statistics, "term bigint, docs bigint, lang bigint, labelled array<bigint>")
+    table = kept.orderBy(F.desc("docs"), "term").limit(TERMS).toPandas().sort_values("term")
+    terms, v, s = table["term"].to_numpy().astype(np.uint32), len(table), len(names)
+    labelled = np.array(table["labelled"].tolist(), dtype=float).reshape(v, max(1, s)).T[:s]
+    docs_of = table["docs"].to_numpy(float)
+    phi = _normalised(_starts(labelled, table["lang"].to_numpy(), docs_of)) if v else np.zeros((s + BACKGROUND, 0), dtype=np.float32)
+    for _ in range(rounds if v else 0):
+        current = spark.sparkContext.broadcast((terms, phi))
+        sent = encoded.mapInArrow(_update_mapper(current), "bucket int, keys binary, sums binary")
+        got = sent.groupBy("bucket").applyInPandas(_topic_sums, "word bigint, topic bigint, n double").toArrow()  # at most topics * TERMS sums
+        sums = np.zeros(phi.shape)
+        sums[got.column("topic").to_numpy(), got.column("word").to_numpy()] = got.column("n").to_numpy()
+        phi = _normalised(sums)
         current.unpersist()
     # inspection of the top terms: which subject's labelled documents use them
-    weight = np.log(n_docs / np.maximum(1.0, table["docs"].to_numpy(float))) if v else np.zeros(0)
-    subject = np.full(len(phi), -1)
+    n_of = np.array([max(1, sum(k in x for x in known.values())) for k in range(s)], dtype=float)
+    rate = (labelled + 0.02) / n_of[:, None]
+    weight = np.log(n_docs / np.maximum(1.0, docs_of))
     share_of = rate / np.maximum(rate.sum(axis=0), 1e-9)
-    for t in range(len(phi)):
+    subject = np.full(len(phi), -1)
+    for t in range(len(phi) if s and v else 0):
         top = np.argsort(-phi[t] * weight)[:TOP_TERMS]
-        votes = (share_of[:, top] * phi[t][top]).sum(axis=1) / max(1e-12, phi[t][top].sum()) if len(top) else np.zeros(s)
-        if s and len(top) and votes.max() >= PURE:
+        votes = (share_of[:, top] * phi[t][top]).sum(axis=1) / max(1e-12, phi[t][top].sum())
+        if votes.max() >= PURE:
             subject[t] = int(votes.argmax())
-    speaks = (share_of >= TERM_PURE) | (by_subject.sum(axis=0) < 4)
-    return Model(words, phi, subject, names, weight, speaks), encoded, known
+    return Model(terms, phi, subject, names, weight), encoded, known
 
 
 def _assign_mapper(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         n = len(m.names)
-        for batch in _slices(batches):
-            doc, word, unit, first = _flat(batch)
-            total = int(first[-1])
-            count = np.zeros((batch.num_rows, n))
-            if len(word):
-                share = infer(doc, word, batch.num_rows, m.phi)
-                owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        for batch in _batches(rows, m.terms):
+            count = np.zeros((len(batch.units), n))
+            if len(batch.word):
+                doc, word, times = batch.counted(len(m.terms))
+                share, _ = infer(doc, word, times, len(batch.units), m.phi)
+                at = np.searchsorted(doc * len(m.terms) + word, batch.owner[batch.unit] * len(m.terms) + batch.word)
                 for s in range(n):
-                    of = share[:, m.subject == s].sum(axis=1)
-                    hit = np.zeros(total, dtype=bool)
-                    hit[unit[(of >= SURE) & m.speaks[s][word]]] = True
-                    count[:, s] = np.bincount(owner[hit], minlength=batch.num_rows)
+                    hit = np.zeros(len(batch.owner), dtype=bool)
+                    hit[batch.unit[(share[m.subject == s].sum(axis=0) >= SURE)[at]]] = True
+                    count[:, s] = np.bincount(batch.owner[hit], minlength=len(batch.units))
+            shares = count / np.maximum(1, batch.units)[:, None]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_units"), pa.array(list(count / np.maximum(1, np.diff(first))[:, None]), pa.list_(pa.float64()))], ["doc_id", "n_units", "shares"]
+                [pa.array(batch.ids), pa.array(batch.units, pa.int32()), pa.array(list(shares), pa.list_(pa.float64()))], ["doc_id", "n_units", "shares"]
             )
 
     return run
@@ -346,14 +390,14 @@ def _calibrated(shares: list[tuple[int, list[float]]], known: dict[int, tuple[in
     return best[-1]
 
 
-def shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[DataFrame, Model]:
+def shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
     """doc_id, n_units, share of the units of each subject (in the order of Model.names)."""
     spark = documents.sparkSession
-    model, encoded, known = fit(documents, labels, subjects)
+    model, encoded, known = fit(documents, labels, subjects, rounds)
     shared = spark.sparkContext.broadcast(model)
     out = materialize(encoded.mapInArrow(_assign_mapper(shared), "doc_id bigint, n_units int, shares array<double>"))
     ids = spark.createDataFrame([(d,) for d in known] or [(-1,)], "doc_id bigint")
-    seen = out.join(ids, "doc_id", "left_semi").select("doc_id", "shares").limit(2 * LABELLED).collect()
+    seen = out.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "shares").limit(2 * LABELLED).collect()
     model.cut = _calibrated([(r.doc_id, r.shares) for r in seen], known)
     return out, model
 
