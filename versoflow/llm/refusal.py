@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versoflow.llm.cutting import HAN, Cut, paired
+from versoflow.llm.sampling import by_hash
 
 #: Prompts of the corpus that the classifier is fitted on, at most, and their characters.
 SAMPLE, LONGEST = 4000, 2000
@@ -87,8 +88,8 @@ def _present(texts: list[str]) -> list[set[int]]:
 
 def fit(segments: DataFrame, langs_of) -> tuple[np.ndarray, np.ndarray]:
     """Words and their weights, ascending by word. ``langs_of`` gives the languages of texts; at most SAMPLE prompts are read."""
-    rows = segments.where(F.char_length("original_text").between(1, LONGEST)).select(F.col("original_text").alias("t"), F.xxhash64("row_id", "original_text").alias("h"))
-    return weights([r.t for r in rows.orderBy("h", "t").limit(SAMPLE).collect()], langs_of)
+    rows = segments.where(F.char_length("original_text").between(1, LONGEST)).select("row_id", "original_text")
+    return weights([r.original_text for r in by_hash(rows, SAMPLE, "row_id", "original_text").collect()], langs_of)
 
 
 def weights(prompts: list[str], langs_of) -> tuple[np.ndarray, np.ndarray]:

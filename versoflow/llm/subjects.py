@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versoflow.llm.cutting import HAN, KATAKANA, LATIN, Cut, distinct, paired, slices
+from versoflow.llm.sampling import by_hash
 from versoflow.llm.sums import Sums, pack, total_of, unpack
 from versoflow.llm.textkit import sentences
 from versoflow.session import materialize
@@ -313,7 +314,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: in
     number = {s: k for k, s in enumerate(names)}
     some = labels.where("doc_id is not null and subject is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "subject").distinct()
     known: dict[int, tuple[int, ...]] = {}
-    for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(LABELLED).collect():
+    for r in by_hash(some, LABELLED, "doc_id", "subject").collect():
         if r.subject in number:
             known[r.doc_id] = (*known.get(r.doc_id, ()), number[r.subject])
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("book_id").cast("long").alias("book_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
