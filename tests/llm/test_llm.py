@@ -1,15 +1,17 @@
 """Operators of the training-data subpackage against brute force, round trips and held-out data."""
 
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from versoflow.llm import alignment, charlm, defects, langid, mixing, packing, replies, splitting, subjects, textkit, truncation
+from versoflow.llm import alignment, charlm, cutting, defects, langid, mixing, packing, refusal, replies, sampling, splitting, subjects, sums, textkit, truncation
 
 SEGMENTS = "row_id long, doc_id long, segment_id long, original_text string, translated_text string, is_new_chapter boolean, chapter_title string, content_type string, original_lang string, translated_lang string, extra string"
 
@@ -49,17 +51,52 @@ def test_sentences(text, want):
     assert textkit.sentences(text) == want
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text("ab .!?。！”)\n\r#|`—1🙂", max_size=25), max_size=6))
-def test_numbers_of_token_sentences(texts):
-    vocabulary = textkit.Vocabulary()
-    s = textkit.Sentences(textkit.token_ids(texts, vocabulary, textkit.WORD_PATTERN))
-    number = textkit.numbered_sentences(texts, s)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text("aBé .!?。！”’)\n\r#|`—12,漢字かカ🙂\u0301", max_size=25), max_size=6))
+def test_cut_sentences_are_those_of_the_rule(texts):
+    cut = cutting.Cut(texts, 1, True)
     for d, text in enumerate(texts):
+        mine = slice(cut.of_doc[d], cut.of_doc[d + 1])
         parts = textkit.sentences(text)
-        got = number[(s.doc == d) & (number > 0)]
-        assert list(got) == sorted(set(got)) and all(1 <= n <= len(parts) for n in got)
-        assert {i for i, p in enumerate(parts, 1) if regex.search(r"[^\W_]", p)} <= set(got)
+        assert cut.number[mine].tolist() == list(range(1, len(parts) + 1))
+        for part, a, b in zip(parts, cut.first[mine], cut.last[mine]):
+            words = [cut.word(k) for k in range(a, b)]
+            assert all(w for w in words) and bool(words) == any(c.isalnum() for c in part)
+
+
+def test_cut_words():
+    cut = cutting.Cut(["L'été, l’ete\u0301 1,234 or 1 234; 漢字かなカナ", None, ""], 1, True)
+    words = [cut.word(k) for k in range(len(cut.key))]
+    assert words == ["l'été", "l’eté", "1234", "or", "1234", "漢", "字", "かな", "カナ"]
+    assert cut.key[2] == cut.key[4] and len(set(cut.key.tolist())) == 8
+    assert [cutting.Cut(["漢字学 だ"], 2).word(k) for k in range(3)] == ["漢字", "学", "だ"]
+    flagged = cutting.Cut(["# A b\n```\ncode here\n```\n| a | b |\nEnd."])
+    assert flagged.heading.tolist() == [True, False, False, False, False, False] and flagged.code.tolist() == [False, True, True, True, False, False] and flagged.table.tolist()[4] and flagged.closed.tolist()[-1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(1, 9)), max_size=30), max_size=5), st.integers(1, 7))
+def test_sums_by_bucket(parts, buckets):
+    want, sent = {}, {}
+    for part in parts:
+        total = sums.Sums()
+        for key, n in part:
+            want[key] = want.get(key, 0) + n
+            total.add(np.array([key], dtype=np.uint64), np.array([n]))
+        for b in total.sent(buckets):
+            sent.setdefault(b.column("bucket")[0].as_py(), []).append((b.column("keys")[0].as_py(), b.column("sums")[0].as_py()))
+    got = {}
+    for of_bucket in sent.values():
+        keys, n = sums.total_of(iter(of_bucket))
+        assert not set(keys.tolist()) & set(got)
+        got |= dict(zip(keys.tolist(), n.tolist()))
+    assert got == want
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(5000)
+    a, b = ({r.id for r in sampling.by_hash(df.repartition(n), 50, "id").collect()} for n in (1, 7))
+    assert a == b and len(a) == 50 and len(sampling.by_hash(df.where("id < 7"), 50, "id").collect()) == 7
 
 
 # --- language models ---------------------------------------------------------------------------------------------
@@ -94,6 +131,13 @@ def test_language_cases(spark, samples):
     assert got[2, "translated_text"].status == got[3, "original_text"].status == got[3, "translated_text"].status == "none"
     assert len(got) == 2 * len(rows)
     assert langid.found(segments(spark, rows).where("false"), samples).count() == 0
+    # a batch of one letter, a long sentence, one with an unbroken run, and a short one alone
+    few = [("A", None, 1, None, "text", "en", "en")]
+    assert langid.detect_languages(segments(spark, few), samples).count() == 2
+    zh = "".join(rng_sentence for rng_sentence in ["我们在春天的早晨看见花园里的孩子和老人，他们说话，", "然后我们一起走到河边的老房子，"] * 8) + "没有人知道为什么。"
+    more = [(zh, "The houses " + "x" * 400 + " are standing in the old harbour.", 1, None, "text", "zh", "en"), ("I know.", "漢" * 2000, 1, None, "text", "de", None)]
+    got = {(r.row_id, r.field): r.langs for r in langid.detect_languages(segments(spark, more), samples).collect()}
+    assert got[0, "original_text"] == ["zh"] and got[0, "translated_text"] == ["en"] and got[1, "original_text"] in (["en"], []) and got[1, "translated_text"] == []
 
 
 # --- replies and truncation --------------------------------------------------------------------------------------
@@ -104,9 +148,13 @@ def test_empty(text):
     assert replies.is_empty(text)
 
 
-@pytest.mark.parametrize("text, want", [("I'm sorry, but I can't translate this passage.", True), ("无法翻译这段内容。", True), ("“I am sorry, I cannot bring the letters today,” said Rud.", False), ("Diese Anfrage muss ich ablehnen. Bitte senden Sie etwas anderes.", True)])
+KNOWN = [("de", "Die Hunde lieben die Bäume im alten Hafen, das ist nicht wahr."), ("zh", "狗在春天的早晨喜爱花园里的树。"), ("fr", "Les chiens aiment les arbres.")] * 20
+WORDS = refusal.weights(["The dogs love the trees, said Rud.", "“I am sorry, I cannot bring the songs today,” said Kor.", "In the old harbour, the children follow the clouds."] * 20, KNOWN, lambda texts: ["en"] * len(texts))
+
+
+@pytest.mark.parametrize("text, want", [("As a language model I do not produce renderings of this kind.", True), ("Das mache ich nicht.", True), ("很抱歉，我做不到。", True), ("The dogs love the trees.", False), ("", False), ("I'm sorry, but I can't translate this passage.", True), ("无法翻译这段内容。", True), ("“I am sorry, I cannot bring the letters today,” said Rud.", False), ("Diese Anfrage muss ich ablehnen. Bitte senden Sie etwas anderes.", True)])
 def test_refusals(text, want):
-    assert replies.refuses(text) is want
+    assert (refusal.Refusals(WORDS).log_odds(cutting.Cut([text, None], han=1))[0] > 0) == want
 
 
 def test_copies():
@@ -133,6 +181,36 @@ def test_length_fit():
     assert truncation.fit_lengths(lengths, counts, np.zeros_like(counts)) == []
 
 
+def test_endings_are_weighed_by_the_censoring_posterior():
+    # open ends beside open originals say little; at a limit most of them are cut, elsewhere few
+    cells = [(None, R_MARK, R_MARK, 6, 9000), (None, R_OPEN, R_OPEN, 2, 400), (4, R_OPEN, R_OPEN, 2, 60), (4, R_MARK, R_MARK, 6, 10), (None, R_OPEN, R_MARK, 5, 200)]
+    odds, free = truncation.fit_endings(cells)
+    assert 2.0 + odds[True, R_OPEN, R_OPEN, 2] > 0 > free + odds[False, R_OPEN, R_OPEN, 2]
+    assert free + odds[False, R_OPEN, R_MARK, 5] > 0 > 2.0 + odds[True, R_MARK, R_MARK, 6]
+    assert truncation.fit_endings([]) [0] == {}
+
+
+def test_limits_decide(spark, samples):
+    rng = random.Random(8)
+    nouns = ["houses", "dogs", "trees", "songs", "bridges", "letters"]
+    # list entries: neither side ends with a mark; the service "s" cuts at 60 characters, "t" does not
+    rows, doc = [], []
+    for k in range(1200):
+        text = " ".join(f"the {rng.choice(nouns)} and the {rng.choice(nouns)}" for _ in range(rng.randint(1, 4)))
+        cut = k % 2 == 0 and len(text) > 60
+        rows.append((text + ("." if k % 3 else ""), (text[:60] if cut else text + ("." if k % 3 else "")), 1 + k % 2, None, "text", "en", "en"))
+        doc.append(cut)
+    books = spark.createDataFrame([(1, "s", "de", "x"), (2, "t", "de", "x")], BOOKS)
+    df = segments(spark, rows)
+    features = truncation.reply_features(df, samples, None, False)
+    judged = {r.row_id: r.cut for r in truncation.judged(features, books).collect()}
+    none = truncation.fitted_limits(truncation.with_books(features, books)).where("false")
+    without = {r.row_id: r.cut for r in truncation.judged(features, books, none).collect()}
+    assert judged != without
+    assert sum(judged[k] == doc[k] for k in judged) >= sum(without[k] == doc[k] for k in without)
+
+
+R_MARK, R_OPEN = replies.MARK, replies.OPEN
 BOOKS = "doc_id long, service string, target_lang string, name string"
 
 
@@ -166,6 +244,8 @@ def test_pieces(text, limit, overlap):
     if len(text) <= limit:
         return
     parts = splitting.split(text, limit, overlap)
+    for (s0, _, e0, _), (s, n, _, _) in zip(parts, parts[1:]):  # at least the overlap, or all of the piece before but one
+        assert n == e0 and n - s >= min(overlap, limit - 1, e0 - s0 - 1)
     assert "".join(text[n:e] for _, n, e, _ in parts) == text
     assert all(0 < e - s <= limit and s <= n < e for s, n, e, _ in parts)
     if overlap == 0:
@@ -244,6 +324,8 @@ def test_mixing(spark):
         assert report[s].share == pytest.approx(share, abs=0.01) and report[s].most_repeats <= cap
     assert report["none"].tokens == 0
     assert mixing.mix(df.where("false"), targets).count() == 0
+    chosen = mixing.mix(df, targets, shards=8).collect()
+    assert all(len(r.shards) == r.repeats and set(r.shards) <= set(range(8)) for r in chosen) and len({s for r in chosen for s in r.shards}) == 8
 
 
 def test_slots():
@@ -287,48 +369,71 @@ def test_alignment(spark, samples):
     assert alignment.align(segments(spark, rows).where("false"), samples).count() == 0
 
 
-def test_word_pairs_do_not_depend_on_partitions(spark, samples):
-    # a rare pair, once in each of 20 partitions, beside frequent ones
-    rows = [(f"Zorblax waited near the {k} gates.", f"Quintavo wartete nahe den {k} Toren.", 1, None, "text", "en", "de") for k in range(20)]
-    model = charlm.NaiveBayes(charlm.samples_by_language(langid.labelled_sentences(samples, None)))
-    encoded = alignment.encode(segments(spark, rows), model)
-    of = lambda word, lang: int(alignment._salted(np.array([alignment.word_hash(word)], dtype=np.uint64), np.array([model.langs.index(lang)]))[0])
-    tables = []
-    for parts in (1, 20):
-        counts = encoded.repartition(parts, "row_id").mapInArrow(alignment._first_counts, alignment.COUNTS)
-        tables.append({(r.source, r.target): r.c for r in counts.groupBy("source", "target").agg(F.sum("c").alias("c")).collect()})
-    assert tables[0] == tables[1]
-    assert tables[1][of("zorblax", "de"), of("quintavo", "en")] == 20
-
-
-def test_expectation_shares_among_all_words_of_linked_sentences(spark, samples):
-    rows = [(f"The {a} {v} the {b}.", f"Die {x} {w} die {y}.", 1, None, "text", "en", "de") for a, x in NOUNS for b, y in NOUNS for v, w in VERBS if a != b]
-    model = charlm.NaiveBayes(charlm.samples_by_language(langid.labelled_sentences(samples, None)))
-    encoded = alignment.encode(segments(spark, rows), model)
-    side = alignment._sides(encoded.toArrow().to_batches()[0])
-    empty = np.zeros(0)
-    # a table without one row: every pair of words still counts, and each target word is shared out whole
-    counts = alignment.Counts()
-    alignment._share(counts, *side, np.arange(5), np.arange(5), alignment.Table(*[empty] * 5, (empty, empty), (empty, empty)))
-    counts.merge()
-    assert len(counts.keys) > 0 and abs(counts.sums.sum() - side[1].size[:5].sum()) < 0.01
-    vocabulary = encoded.mapInArrow(alignment._vocabulary_mapper, alignment.VOCABULARY).distinct()
-    table, weights = alignment.translation_table(encoded, vocabulary)
-    assert alignment._moved(table, alignment._table(alignment._by_block(encoded, alignment._entries(vocabulary, table, weights), alignment._expectation, alignment.COUNTS), False)[0]) <= 2 * alignment.SETTLED
-
-
-def side(lang, texts):
-    """One row's sentences, each a list of words, as in a batch."""
-    records = np.array([(k + 1, lang, len(words)) for k, words in enumerate(texts)], dtype=np.int32)
-    return alignment.Side([records.tobytes()], [np.array([alignment.word_hash(w) for words in texts for w in words], dtype=np.uint32).tobytes()])
+def test_pairs_do_not_depend_on_partitions(spark, samples, monkeypatch):
+    rng = random.Random(5)
+    rows, compounds = [], [(a[0][:-1] + b[0], a[1] + b[1].lower()) for a in NOUNS for b in NOUNS[:4]]
+    for k in range(300):
+        n = rng.randint(1, 4)
+        picks = [(rng.choice(compounds), rng.choice(VERBS), rng.choice(compounds)) for _ in range(n)]
+        rows.append((" ".join(f"The {a[0]} {v[0]} the {b[0]}." for a, v, b in picks), " ".join(f"Die {a[1]} {v[1]} die {b[1]}." for a, v, b in picks), 1, None, "text", "en", "de"))
+    # a rare pair, once in each of many partitions
+    rows += [(f"Zorblax waited near the {k} gates.", f"Quintavo wartete nahe den {k} Toren.", 1, None, "text", "en", "de") for k in range(20)]
+    got = [sorted(tuple(r) for r in alignment.align(segments(spark, rows).repartition(n), samples).collect()) for n in (1, 4, 16)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 500
+    # a table that is too large to broadcast is joined to the blocks instead, and counts of words to those of pairs
+    monkeypatch.setattr(alignment, "HELD_ROWS", 0)
+    monkeypatch.setattr(alignment, "HELD_WORDS", 0)
+    assert sorted(tuple(r) for r in alignment.align(segments(spark, rows).repartition(4), samples).collect()) == got[0]
+
+
+def crc(word):
+    return zlib.crc32(word.encode())
+
+
+def side(lang, other, texts):
+    """One row's sentences, each a list of words, as in a slice."""
+    raw = np.array(sorted({crc(w) for words in texts for w in words}), dtype=np.uint64)
+    inside = [sorted({int(np.searchsorted(raw, crc(w))) for w in words}) for words in texts]
+    size = np.array([len(x) for x in inside], dtype=np.int64)
+    word = np.array([k for x in inside for k in x], dtype=np.int64)
+    numbers = alignment._salted(raw, np.full(len(raw), other)).astype(np.uint32)
+    return alignment.Side(np.array([len(texts)]), np.full(len(texts), lang, dtype=np.uint8), size, word, numbers, raw.astype(np.uint32))
+
+
+def table_of(pairs=(), of=0.9):
+    s, t = ([int(alignment._salted(np.array([crc(p[k])], dtype=np.uint64), np.array([1 - k]))[0]) for p in pairs] for k in (0, 1))
+    same = pa.array([of] * len(pairs), pa.float64())
+    return alignment.Table(pa.table({"source": pa.array(s, pa.int64()), "target": pa.array(t, pa.int64()), "p": same, "of_s": same, "of_t": same}))
 
 
 def linked(o, t, pairs=(), of=0.9):
     """Links of one row by a table of the given word pairs."""
-    key = lambda k, lang: np.array([int(alignment._salted(np.array([alignment.word_hash(p[k])], dtype=np.uint64), np.array([lang]))[0]) for p in pairs], dtype=np.uint64)
-    value, nothing = np.full(len(pairs), of), (np.zeros(0, dtype=np.uint64), np.zeros(0))
-    table = alignment.Table(key(0, 1), key(1, 0), value, value, value, nothing, nothing)
-    return sorted(zip(*(x.tolist() for x in alignment.link(side(0, o), side(1, t), table))))
+    i, j, _ = alignment.link(side(0, 1, o), side(1, 0, t), table_of(pairs, of))
+    return sorted(zip(i.tolist(), j.tolist()))
+
+
+def test_expectation_shares_every_target_word(spark):
+    o, t = side(0, 1, [["a", "b", "c"], ["d"]]), side(1, 0, [["x", "y"], ["z"]])
+    i = j = np.arange(2)
+    finder = alignment.Finder(o, t, table_of([("a", "x")]))
+    hits = finder.of_pairs(i, j)
+    total = sums.Sums()
+    alignment._share(total, o, t, i, j, hits)
+    total.merge()
+    pairs = {(int(k >> 32), int(k & 0xFFFFFFFF)): n / alignment.GRAIN for k, n in zip(total.keys.tolist(), total.sums.tolist())}
+    number = lambda s, w: int(s.vocabulary[np.searchsorted(s.raw, crc(w))])
+    # x falls to a; y, for which the table has nothing, to the words that explain nothing else
+    assert pairs[number(o, "a"), number(t, "x")] == 1 and (number(o, "a"), number(t, "y")) not in pairs
+    assert pairs[number(o, "b"), number(t, "y")] == pairs[number(o, "c"), number(t, "y")] == 0.5 and pairs[number(o, "d"), number(t, "z")] == 1
+    assert pairs[number(o, "a"), alignment.MASS] == 1
+
+
+def test_links_far_from_the_diagonal():
+    rng = random.Random(3)
+    o = [[f"w{k}", f"v{k}", "the"] for k in range(120)]
+    order = list(range(120))
+    rng.shuffle(order)
+    assert linked(o, [o[k] for k in order]) == sorted((k, at) for at, k in enumerate(order))
 
 
 def test_crowded_words_are_matched_near_the_diagonal():
@@ -376,6 +481,21 @@ def test_units():
     ]
 
 
+def test_subjects_without_books(spark):
+    rows = [("The judges read the verdicts. " * 5 if k % 2 else "The dogs love the trees. " * 5, "s") for k in range(200)]
+    df = docs(spark, rows).withColumn("book_id", F.lit(None).cast("long"))
+    labels = spark.createDataFrame([(k, "law") for k in range(1, 60, 2)] + [(k, "none") for k in range(0, 60, 2)], "doc_id long, subject string")
+    names = spark.createDataFrame([("law",), ("none",)], "subject string")
+    got = {r.doc_id for r in subjects.found(df, labels, names).where("subject = 'law'").collect()}
+    assert got == set(range(1, 200, 2))
+
+
+def test_fitting_topics_changes_the_result(spark, data):
+    tables = [spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "subject_labels", "subjects")]
+    a, b = ({(r.doc_id, *r.shares) for r in subjects.shares(*tables, rounds=n)[0].collect()} for n in (0, 8))
+    assert a != b
+
+
 def test_subjects(spark):
     rng = random.Random(2)
     words = {"law": ["judges", "courts", "verdicts", "appeals", "lawyers", "fines"], "food": ["soups", "noodles", "eggs", "ovens", "spices", "onions"]}

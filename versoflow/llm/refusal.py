@@ -1,6 +1,7 @@
 """Whether a reply declines its task: a naive Bayes classifier of words, fitted for each language.
 
-It is fitted on the example sentences below, which decline a task, and on a bounded sample of prompts, which don't.
+It is fitted on the example sentences below, which decline a task, and on a bounded sample of prompts and the sentences of
+known language, which don't.
 Words are Latin words, runs of kana and pairs of neighbouring Han characters; what counts is whether a word is in a reply. A word speaks
 for a refusal only if an example has it; a word that no example and no prompt has speaks a little against one.
 """
@@ -86,15 +87,17 @@ def _present(texts: list[str]) -> list[set[int]]:
     return [set(key[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def fit(segments: DataFrame, langs_of) -> tuple[np.ndarray, np.ndarray]:
-    """Words and their weights, ascending by word. ``langs_of`` gives the languages of texts; at most SAMPLE prompts are read."""
+def fit(segments: DataFrame, sentences: list[tuple[str, str]], langs_of) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their weights, ascending by word. ``langs_of`` gives the languages of texts; at most SAMPLE prompts are read.
+    ``sentences`` of known languages are held against the examples too."""
     rows = segments.where(F.char_length("original_text").between(1, LONGEST)).select("row_id", "original_text")
-    return weights([r.original_text for r in by_hash(rows, SAMPLE, "row_id", "original_text").collect()], langs_of)
+    return weights([r.original_text for r in by_hash(rows, SAMPLE, "row_id", "original_text").collect()], sentences, langs_of)
 
 
-def weights(prompts: list[str], langs_of) -> tuple[np.ndarray, np.ndarray]:
+def weights(prompts: list[str], sentences: list[tuple[str, str]], langs_of) -> tuple[np.ndarray, np.ndarray]:
     """Weights by language of the words, in the order of keys. Words of several languages get their mean weight."""
-    languages = langs_of(prompts) if prompts else []
+    languages = [*(langs_of(prompts) if prompts else []), *(lang for lang, _ in sentences)]
+    prompts = [*prompts, *(text for _, text in sentences)]
     found: dict[int, list[float]] = {}
     for lang, examples in EXAMPLES.items():
         refused, others = Counter(), Counter()

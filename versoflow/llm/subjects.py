@@ -183,7 +183,7 @@ def _statistics(n_subjects: int, least_spread: float, most_docs: float):
         keep = (docs >= LEAST_DOCS) & (docs <= most_docs) & (spread >= least_spread)
         return pd.DataFrame({
             "term": term[head][keep].astype(np.int64), "docs": docs[keep].astype(np.int64), "lang": lang[keep][:, :LANG_SLOTS].argmax(axis=1).astype(np.int64),
-            "labelled": list(labelled[keep].astype(np.int64)),
+            "labelled": pd.Series(list(labelled[keep].astype(np.int64)), dtype=object),
         })
 
     return run

@@ -48,8 +48,9 @@ LIMITS = "service string, unit string, limit int, n_at bigint, n_expected double
 def reply_features(segments: DataFrame, samples: DataFrame, glossary: DataFrame | None, whole: bool) -> DataFrame:
     """The features of all rows and the counts of words, in the shared folder: they are read several times."""
     spark = segments.sparkSession
-    model = NaiveBayes(samples_by_language(labelled_sentences(samples, glossary)))
-    weights = refusal.fit(segments, lambda texts: _languages(model, texts)) if whole else (np.zeros(0, dtype=np.uint64), np.zeros(0))
+    sentences = labelled_sentences(samples, glossary)
+    model = NaiveBayes(samples_by_language(sentences))
+    weights = refusal.fit(segments, sentences, lambda texts: _languages(model, texts)) if whole else (np.zeros(0, dtype=np.uint64), np.zeros(0))
     broadcast = spark.sparkContext.broadcast((model, weights))
     cut = segments.select(
         F.col("row_id").cast("long").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("content_type").cast("string").alias("content_type"),
@@ -120,7 +121,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, opened: np.ndarray) ->
         density = np.exp(-0.5 * z * z) / (math.sqrt(2 * math.pi) * sd * grid)
         expected = float(density.sum() * counts.sum())
         seen = float(counts[(lengths >= n) & (lengths <= n + SLACK)].sum())
-        beyond = max(0.5, min(float(opened[(lengths >= n) & (lengths <= n + SLACK)].sum()), seen - min(expected, seen)))
+        beyond = min(max(0.5, seen - expected), max(0.5, seen - 0.5))  # what the fitted lengths don't account for
         out.append((n, int(seen), expected, math.log(beyond / max(0.5, seen - beyond))))
     return out
 
