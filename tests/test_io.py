@@ -62,7 +62,10 @@ def test_epub_round_trip(spark, tmp_path):
     assert {(r.media_type, r.n) for r in epub.resources(files).collect()} == {("application/xhtml+xml", 2), ("application/x-dtbncx+xml", 1), ("text/css", 1)}
     segs = readers.load_document(spark, str(path), cache=str(tmp_path / "cache"))
     assert [(r.segment_id, r.chapter_title, r.is_new_chapter) for r in segs.orderBy("segment_id").collect()] == [(0, "Ch & 1", True), (1, "Two", True)]
-    assert readers.load_document(spark, "gone.epub", cache=str(tmp_path / "cache")).count() == 2
+    assert readers.load_document(spark, str(path), cache=str(tmp_path / "cache")).count() == 2 and len(list((tmp_path / "cache").iterdir())) == 1
+    # what is saved goes by the settings and by the contents of the file
+    readers.load_document(spark, str(path), cache=str(tmp_path / "cache"), max_chunk=100)
+    assert len(list((tmp_path / "cache").iterdir())) == 2
     new = epub.rewrite_epub(path.read_bytes(), {"chapter_0002.xhtml": "<p>Mehr.</p>"})
     assert zipfile.ZipFile(io.BytesIO(new)).read("OEBPS/chapter_0002.xhtml") == b"<p>Mehr.</p>" and sinks.refilled_epub(path.read_bytes(), [("chapter_0002.xhtml", "")])
     docs = epub.documents(files)
@@ -179,3 +182,30 @@ def test_ttl_stream(spark, tmp_path):
     q.stop()
     got = {(r.content_hash, r.cache_name, r.hit) for r in spark.table("hits").collect()}
     assert got == {("h", "n1", False), ("h", "n1", True), ("h", "n3", False), ("g", "m1", False)}
+
+
+def test_navigation_document():
+    import io
+    import zipfile
+
+    from versoflow.sources.epub import Container
+
+    nav = """<html><body><nav epub:type="landmarks"><ol><li><a href="x.xhtml">Skip</a></li></ol></nav>
+    <nav epub:type="toc"><ol><li><a href="a.xhtml#p">One <b>more</b></a><ol><li><a href="sub/b%20c.xhtml">Two</a></li></ol></li><li><a href="#own"> </a></li><li><a href="d.xhtml"></a></li></ol></nav></body></html>"""
+    opf = """<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="n" href="text/nav.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine/></package>"""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/c.opf"/></rootfiles></container>')
+        z.writestr("OEBPS/c.opf", opf)
+        z.writestr("OEBPS/text/nav.xhtml", nav)
+    assert Container(out.getvalue()).contents() == [(1, "One more", "text/a.xhtml"), (2, "Two", "text/sub/b c.xhtml"), (1, "Untitled", "text/d.xhtml")]
+
+
+def test_entry_without_the_training_data_package():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).parent.parent)
+    code = f"import sys; sys.path.insert(0, {root!r}); sys.modules['regex'] = None; sys.modules['versoflow.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'chunk_segments' in q and not [n for n in q if n.startswith('p1_')]; assert e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], timeout=120).returncode == 0

@@ -212,6 +212,38 @@ def test_fuzzy_loses_nothing(spark):
     assert got == want and len(want) > 20
 
 
+def test_fuzzy_candidates_against_brute_force(spark):
+    from tests.test_text import brute_similarity
+
+    rng = random.Random(11)
+    words = ["international", "houses", "犬は木", "the", "quick", "brown", "fox", "中", "over", "jumping", "守る橋雲"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = ["international", "internationa", "the quick brown fox jumps over it", "the quick brown fox jumps over it 中"]
+    for t in base:
+        texts.append(t)
+        cut = rng.randint(0, 4)
+        texts += [t[cut:], t[: len(t) - cut], f"{t} 中", f"x{t}", t.replace("o", "p", 1), t.upper()]
+    texts = sorted({" ".join(t.split()) for t in texts if len(" ".join(t.split())) >= 10})
+    left, right = texts[::2], texts[1::2]
+    found = matching.candidates(*(spark.createDataFrame([(t,) for t in x], "s string") for x in (left, right)))
+    got = {(r.a, r.key) for r in found.collect()}
+    want = {(a, b) for a in left for b in right if brute_similarity(a, b) > matching.LIKE}
+    assert want <= got and len(want) > 30 and len(got) < len(left) * len(right) / 3
+
+
+def test_running_context_has_no_reach(spark):
+    # rows of one letter, empty and null ones: the last 500 characters go back over hundreds of rows, across stretches
+    rng = random.Random(2)
+    rows = [(k, d, k // 3, rng.choice([None, "", "a", "bc", "long " * 150])if rng.random() < 0.1 else "x") for d in (1, 2, None) for k in range(700)]
+    df = spark.createDataFrame([(100000 * (d or 3) + k, d, n, t) for k, d, n, t in rows], "row_id long, doc_id long, segment_id long, translated_text string")
+    got = {r.row_id: r.running for r in context.vision_context(df).collect()}
+    for d in (1, 2, None):
+        before = []
+        for r in sorted((r for r in df.collect() if r.doc_id == d), key=lambda r: (r.segment_id, r.row_id)):
+            assert got[r.row_id] == "\n".join(before)[-500:]
+            before.append(r.translated_text or "")
+
+
 REPLIES = [
     ('[{"id": 1, "translation": "a\\"b"}, {"id": 2, "translation": "c"}]', ["a\"b", "c"], "strict"),
     ('```json\n[{"id": "1", "translation": "a"}, {"id": 2}]\n```', ["a", ""], "strict"),

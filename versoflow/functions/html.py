@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tags that make a block, tags whose text isn't read, and tags without an end.
+from versoflow.functions.text import INLINE_MARKDOWN
+
+# Tags that make a block, and tags whose text isn't read.
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre")
 SILENT = ("script", "style")
-VOID = ("br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr")
 
 
 def _clean(text: str) -> str:
@@ -136,11 +137,8 @@ def replace_blocks(html: str | None, translations: dict[str, str], keep_original
 def inline_html(text: str) -> str:
     """Escaped text with line ends as breaks and inline Markdown as tags."""
     text = escape(unescape(text), quote=False).replace("\n", "<br/>")
-    for pattern, to in (
-        (r"\[([^\]]+)\]\(([^\)]+)\)", r'<a href="\2">\1</a>'), (r"`([^`]+)`", r"<code>\1</code>"), (r"~~([^~]+)~~", r"<del>\1</del>"),
-        (r"\*\*(.+?)\*\*", r"<strong>\1</strong>"), (r"(?<![*\w])\*([^*]+?)\*(?![*\w])", r"<em>\1</em>"),
-    ):
-        text = re.sub(pattern, to, text)
+    for pattern, to in INLINE_MARKDOWN:
+        text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", to), text)
     return text
 
 

@@ -136,19 +136,23 @@ def strip_code_fence(x: Column | str) -> Column:
     return F.when(_c(x).rlike(fence), F.regexp_extract(_c(x), fence, 1)).otherwise(_c(x))
 
 
+# Inline Markdown and the tags that it becomes, in this order.
+INLINE_MARKDOWN = (
+    (r"\[([^\]]+)\]\(([^\)]+)\)", '<a href="$2">$1</a>'),
+    (r"`([^`]+)`", "<code>$1</code>"),
+    (r"~~([^~]+)~~", "<del>$1</del>"),
+    (r"\*\*(.+?)\*\*", "<strong>$1</strong>"),
+    (r"__(.+?)__", "<strong>$1</strong>"),
+    (r"(?<![*\w])\*([^*]+?)\*(?![*\w])", "<em>$1</em>"),
+    (r"(?<!_)\b_([^_]+?)_\b(?!_)", "<em>$1</em>"),
+)
+
+
 def inline_markdown_to_html(x: Column | str) -> Column:
     """Links, code, deletions, strong and emphasised text as tags, in this order."""
     out = _c(x)
-    for pattern, to in (
-        (r"\[([^\]]+)\]\(([^\)]+)\)", '<a href="$2">$1</a>'),
-        (r"`([^`]+)`", "<code>$1</code>"),
-        (r"~~([^~]+)~~", "<del>$1</del>"),
-        (r"\*\*(.+?)\*\*", "<strong>$1</strong>"),
-        (r"__(.+?)__", "<strong>$1</strong>"),
-        (r"(?U)(?<![*\w])\*([^*]+?)\*(?![*\w])", "<em>$1</em>"),
-        (r"(?U)(?<!_)\b_([^_]+?)_\b(?!_)", "<em>$1</em>"),
-    ):
-        out = F.regexp_replace(out, pattern, to)
+    for pattern, to in INLINE_MARKDOWN:
+        out = F.regexp_replace(out, f"(?U){pattern}", to)
     return out
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versoflow.functions.text import is_translated, strip
-from versoflow.operators.ordered import preceding
+from versoflow.operators.ordered import preceding, row_numbers
 
 
 def _tail_of(text: Column, first: int, most: int) -> Column:
@@ -30,11 +30,27 @@ def translated_window(segments: DataFrame, size: int = 3, tie: list[str] = ["row
     return before.withColumn("window", strip(F.array_join(kept, " "))).drop("__before")
 
 
-def vision_context(segments: DataFrame, most: int = 500, reach: int = 8, tie: list[str] = ["row_id"]) -> DataFrame:  # noqa: B006
-    """``running``: the last ``most`` characters of the translations before, as a running context of image calls has them.
+#: Consecutive rows that are looked back over together.
+STRETCH = 64
 
-    Only rows that can still reach into the last characters matter; ``reach`` rows are looked back at.
+
+def vision_context(segments: DataFrame, most: int = 500, tie: list[str] = ["row_id"]) -> DataFrame:  # noqa: B006
+    """``running``: the last ``most`` characters of all translations before, joined by line ends, as a running context of
+    image calls has them. Null translations are empty lines.
+
+    Rows are taken in stretches of consecutive ones, whose ends are joined first. A stretch has at least STRETCH
+    characters, line ends included, so only so many before it matter, however short the texts; no window runs over a
+    whole document.
     """
-    text = F.coalesce(F.col("translated_text"), F.lit(""))
-    before = preceding(segments, "doc_id", "segment_id", text, reach, "__before", tie)
-    return before.withColumn("running", F.right(F.array_join("__before", "\n"), F.lit(most))).drop("__before")
+    held = row_numbers(segments, "doc_id", "segment_id", "__n", tie).withColumn("__t", F.right(F.coalesce(F.col("translated_text"), F.lit("")), F.lit(most)))
+    held = held.withColumn("__s", F.floor((F.col("__n") - 1) / STRETCH))
+    ends = held.groupBy("doc_id", "__s").agg(F.array_sort(F.collect_list(F.struct("__n", "__t"))).alias("__rows"))
+    ends = ends.select("doc_id", "__s", F.right(F.array_join(F.col("__rows.__t"), "\n"), F.lit(most)).alias("__end"))
+    reach = -(-most // STRETCH)
+    carried = ends.select("doc_id", "__s", "__end", F.explode(F.sequence(F.col("__s") + 1, F.col("__s") + reach)).alias("__to"))
+    carried = carried.groupBy(F.col("doc_id").alias("__d"), "__to").agg(F.array_sort(F.collect_list(F.struct("__s", "__end"))).alias("__ends"))
+    inside = F.collect_list("__t").over(Window.partitionBy("doc_id", "__s").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1))
+    joined = held.withColumn("__in", inside)
+    joined = joined.join(carried, joined["doc_id"].eqNullSafe(carried["__d"]) & (joined["__s"] == carried["__to"]), "left")
+    lines = F.concat(F.coalesce(F.col("__ends.__end"), F.array().cast("array<string>")), F.col("__in"))
+    return joined.withColumn("running", F.right(F.array_join(lines, "\n"), F.lit(most))).drop("__n", "__t", "__s", "__in", "__d", "__to", "__ends")

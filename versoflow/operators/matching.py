@@ -42,10 +42,12 @@ def exact_match(blocks: DataFrame, mapping: DataFrame, text: str = "text") -> Da
     return blocks.join(known, normalize(text) == F.col("__key"), "left").drop("__key")
 
 
-def _tokens(text: Column) -> Column:
-    chars = F.array_distinct(F.filter(F.split(F.replace(text, F.lit(" "), F.lit("")), ""), lambda c: c != ""))
-    words = F.array_distinct(F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda w: w != ""))
-    return F.when(has_cjk(text), chars).otherwise(words)
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda w: w != ""))
+
+
+def _characters(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.replace(text, F.lit(" "), F.lit("")), ""), lambda c: c != ""))
 
 
 def _prefix_length(n: Column) -> Column:
@@ -53,31 +55,70 @@ def _prefix_length(n: Column) -> Column:
     return (n - F.ceil(n * F.lit(LIKE)) + 1).cast("int")
 
 
+def _contained(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """``long``, ``short``: texts of which the shorter, under 50 characters, may lie within the longer one.
+
+    A text inside one of n characters and above LIKE of its length begins at most e = floor((1 - LIKE) n) behind its start,
+    so the characters from e to n - e are in it whole. The longer text is keyed by its length and these; the shorter by
+    every length that the longer may have and the pieces of it that may be these: at most 45 keys.
+    """
+    off = lambda n: F.floor(n * F.lit(round(1 - LIKE, 9)) + F.lit(1e-9)).cast("int")
+    most = int(49 / LIKE) + 1
+    n = F.char_length("s")
+    one = longer.where(n <= most).select(F.col("s").alias("long"), n.alias("n"), F.substring(F.col("s"), off(n) + 1, n - 2 * off(n)).alias("part"))
+    lengths = F.sequence(n, F.floor(n / F.lit(LIKE)).cast("int"))
+    each = shorter.where(n < 50).select(F.col("s").alias("short"), n.alias("m"), F.explode(lengths).alias("n"))
+    places = F.sequence(F.greatest(F.lit(0), off(F.col("n")) - (F.col("n") - F.col("m"))), off(F.col("n")))
+    parts = each.select("short", "m", "n", F.explode(places).alias("p")).select("short", "n", F.substring(F.col("short"), F.col("p") + 1, F.col("n") - 2 * off(F.col("n"))).alias("part"))
+    return one.join(parts.distinct(), ["n", "part"]).select("long", "short")
+
+
+def _alike(left: DataFrame, right: DataFrame, tokens) -> DataFrame:
+    """``a``, ``key``: texts whose sets of tokens may be more alike than LIKE.
+
+    Prefix filter, lossless: tokens are ordered by rarity, and two sets more alike than LIKE share one of the rarest few of
+    both. Texts meet by these tokens and by like sizes of their sets, never all against all.
+    """
+    rarity = left.unionByName(right).distinct().select(F.explode(tokens(F.col("s"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def prefixes(df: DataFrame, name: str) -> DataFrame:
+        each = df.distinct().withColumn("t", tokens(F.col("s"))).select("s", F.size("t").alias("n"), F.explode("t").alias("token")).join(rarity, "token")
+        ranked = each.groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+        return ranked.select(F.col("s").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.slice("r", F.lit(1), _prefix_length(F.col("n")))).alias("r")).select(name, f"n_{name}", "r.token")
+
+    near = F.least("n_a", "n_key") >= F.ceil(F.lit(LIKE - 1e-9) * F.greatest("n_a", "n_key"))
+    return prefixes(left, "a").join(prefixes(right, "key"), "token").where(near).select("a", "key")
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``a``, ``key``: all pairs of texts (columns ``s``) whose similarity may be above LIKE, each once.
+
+    Three ways to be similar: one lies within the other; the words are alike, of texts without CJK letters; the characters
+    are alike, if either has CJK letters. A text whose set of characters has more CJK ones than 1 - LIKE leaves room for
+    is like no text without them.
+    """
+    left, right = left.select("s").distinct(), right.select("s").distinct()
+    inside = _contained(left, right).select(F.col("long").alias("a"), F.col("short").alias("key"))
+    inside = inside.unionByName(_contained(right, left).select(F.col("short").alias("a"), F.col("long").alias("key")))
+    cjk = has_cjk("s")
+    plain = [df.where(~cjk) for df in (left, right)]
+    wide = [df.where(cjk) for df in (left, right)]
+    few = F.size(F.filter(_characters(F.col("s")), has_cjk)) <= F.lit(1 - LIKE + 1e-9) * F.size(_characters(F.col("s")))
+    parts = [_alike(*plain, _words), _alike(*wide, _characters), _alike(wide[0].where(few), plain[1], _characters), _alike(plain[0], wide[1].where(few), _characters)]
+    for part in parts:
+        inside = inside.unionByName(part)
+    return inside.distinct()
+
+
 def fuzzy_match(blocks: DataFrame, mapping: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     """id, key, translation, score: for each block the most similar entry above 0.85, the earliest of equals.
 
-    Prefix filter, lossless for the Jaccard branch: tokens are ordered by rarity; two sets more alike than LIKE share
-    one of their rarest few. The containment branch needs lengths within LIKE of each other and shares the tokens of
-    the shorter text whole, but for a word cut at its ends; so contained texts share a token among all inner ones,
-    which the prefix of one word more on either side covers. Candidates meet by token, never all against all; tokens
-    that are in a large part of all texts are in no prefix unless texts have nothing rarer.
+    Texts of under LEAST characters match nothing. Candidates lose no pair, see ``candidates``.
     """
-    # both sides are read for rarity, for prefixes and for scores: they are written once
+    # both sides are read for candidates and for scores: they are written once
     left = materialize(blocks.select(F.col(id_column).alias("__id"), normalize(text).alias("a")).where(F.char_length("a") >= LEAST))
     right = materialize(mapping.select("key", "translation", "at").where(F.char_length("key") >= LEAST))
-    sides = left.select(F.col("a").alias("s")).unionByName(right.select(F.col("key").alias("s"))).distinct()
-    rarity = sides.select(F.explode(_tokens(F.col("s"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame, column: str) -> DataFrame:
-        each = df.select(column).distinct().withColumn("tokens", _tokens(F.col(column))).withColumn("n", F.size("tokens"))
-        exploded = each.select(column, "n", F.char_length(column).alias("len"), F.explode("tokens").alias("token")).join(rarity, "token")
-        ordered = exploded.groupBy(column, "n", "len").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-        # one word at either end of a contained text may be cut, so the prefix is longer by two
-        return ordered.select(column, "n", "len", F.explode(F.slice("ranked", F.lit(1), _prefix_length(F.col("n")) + 2)).alias("r")).select(column, "n", "len", "r.token")
-
-    l, r = prefixes(left, "a").withColumnsRenamed({"n": "nl", "len": "ll"}), prefixes(right, "key").withColumnsRenamed({"n": "nr", "len": "lr"})
-    near = (F.least("nl", "nr") >= F.floor(F.lit(LIKE) * F.greatest("nl", "nr")) - 2)
-    pairs = l.join(r, "token").where(near).select("a", "key").distinct()
+    pairs = candidates(left.select(F.col("a").alias("s")), right.select(F.col("key").alias("s")))
     scored = pairs.withColumn("score", similarity("a", "key")).where(F.col("score") > LIKE)
     best = scored.join(right, "key").groupBy("a").agg(F.max_by(F.struct("key", "translation", "score"), F.struct("score", _earlier("at"))).alias("m"))
     return left.join(best, "a").select(F.col("__id").alias(id_column), "m.key", "m.translation", "m.score")

@@ -9,12 +9,13 @@ from versoflow.functions.text import abridged, is_blocked, is_success, is_transl
 from versoflow.operators.ordered import row_numbers
 
 
-def latest_segments(segments: DataFrame) -> DataFrame:
+def latest_segments(segments: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row for each (doc_id, segment_id): the row loaded last, of equals the one of greatest row_id.
 
-    An aggregate with map-side combine, so that repeated keys never meet in one sort.
+    An aggregate with map-side combine, so that repeated keys never meet in one sort. ``columns`` are those wanted besides
+    the key, so that texts which nobody asks for are neither read nor shuffled.
     """
-    names = segments.columns
+    names = segments.columns if columns is None else ["doc_id", "segment_id", *[c for c in columns if c not in ("doc_id", "segment_id")]]
     best = F.max_by(F.struct(*names), F.struct(F.col("loaded_at"), F.col("row_id"))).alias("s")
     return segments.groupBy("doc_id", "segment_id").agg(best).select(*[F.col(f"s.{n}").alias(n) for n in names])
 
@@ -29,13 +30,13 @@ def failures(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.select("doc_id", F.explode("failed_segments").alias("f")).select("doc_id", "f.segment_id", "f.error", "f.timestamp")
 
 
-def pending(segments: DataFrame, checkpoints: DataFrame) -> DataFrame:
+def pending(segments: DataFrame, checkpoints: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Segments still to translate: not completed, or completed with failed or no content.
 
-    One row a key. The completed set drops what failed, so both reasons are one left join with a test.
+    One row a key, with all columns or ``columns``, of which ``translated_text`` must be one. The completed set drops what failed, so both reasons are one left join with a test.
     """
     done = completed_ids(checkpoints).withColumn("__done", F.lit(True))
-    joined = latest_segments(segments).join(done, ["doc_id", "segment_id"], "left")
+    joined = latest_segments(segments, columns).join(done, ["doc_id", "segment_id"], "left")
     return joined.where(F.col("__done").isNull() | ~is_success("translated_text")).withColumn(
         "why", F.when(F.col("__done").isNull(), "not completed").otherwise("failed content")
     ).drop("__done")

@@ -207,7 +207,7 @@ def vision_running_context(spark: SparkSession, d: str) -> DataFrame:
     return context.vision_context(read(spark, d, "segments")).select("row_id", F.md5("running").alias("md5"))
 
 
-VISION_RUNNING_CONTEXT = """SELECT row_id, md5(right(coalesce(array_to_string(list(t) OVER (PARTITION BY doc_id ORDER BY segment_id, row_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), chr(10)), ''), 500)) AS md5
+VISION_RUNNING_CONTEXT = """SELECT row_id, md5(right(coalesce(array_to_string(list(t) OVER (PARTITION BY doc_id ORDER BY segment_id, row_id ROWS BETWEEN 501 PRECEDING AND 1 PRECEDING), chr(10)), ''), 500)) AS md5
 FROM (SELECT row_id, doc_id, segment_id, coalesce(translated_text, '') AS t FROM segments)"""
 
 

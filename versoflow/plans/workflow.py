@@ -33,7 +33,7 @@ FROM (SELECT doc_id, len(list_distinct(coalesce(completed_segments, []))) AS c,
 
 def pending_segments(spark: SparkSession, d: str) -> DataFrame:
     """Current segments that aren't completed, or whose content failed."""
-    return status.pending(read(spark, d, "segments"), read(spark, d, "checkpoints")).select("doc_id", "segment_id", "why")
+    return status.pending(read(spark, d, "segments"), read(spark, d, "checkpoints"), ["translated_text"]).select("doc_id", "segment_id", "why")
 
 
 PENDING_SEGMENTS = f"""WITH {LATEST}, done AS (
@@ -328,7 +328,7 @@ SERVICE_SETTINGS = "SELECT service, count(*) AS n_books, CASE WHEN service = 'ge
 
 def last_rendered_segment(spark: SparkSession, d: str) -> DataFrame:
     """The last segment that a book's rendering with marks has: where to go on."""
-    rows = status.latest_segments(read(spark, d, "segments")).select("doc_id", "segment_id")
+    rows = status.latest_segments(read(spark, d, "segments"), [])
     # the mark of one segment a row: a book's rendering is never gathered
     marked = rows.withColumn("markdown", F.concat(F.lit("text\n🔖 **Segment "), F.col("segment_id").cast("string"), F.lit("**\nmore")))
     return marked.groupBy("doc_id").agg(F.max(T.last_segment_id("markdown")).alias("last_segment"))

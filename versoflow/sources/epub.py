@@ -6,6 +6,7 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -74,9 +75,50 @@ class Container:
                         walk(nav, 1)
                 if found:
                     return found
+        for href, kind, properties in self.items.values():
+            if "nav" in properties.split() and (text := self.read(href)):
+                page = _Navigation()
+                page.feed(text)
+                page.close()
+                base = posixpath.dirname(href)
+                found = [(level, title or "Untitled", posixpath.normpath(posixpath.join(base, unquote(src.split("#")[0])))) for level, title, src in page.found if src.split("#")[0]]
+                if found:
+                    return found
         return []
 
 
+class _Navigation(HTMLParser):
+    """Links of the contents list of a navigation document, with the depth of the list that they are in."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[int, str, str]] = []
+        self.inside, self.depth, self.link, self.words = 0, 0, None, []
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        if tag == "nav":
+            # a list without a type is the contents list
+            self.inside += bool(self.inside) or (given.get("epub:type") or "toc") == "toc"
+        elif self.inside and tag == "ol":
+            self.depth += 1
+        elif self.inside and tag == "a" and given.get("href"):
+            self.link, self.words = given["href"], []
+
+    def handle_endtag(self, tag):
+        if tag == "nav" and self.inside:
+            self.inside -= 1
+        elif self.inside and tag == "ol":
+            self.depth -= 1
+        elif tag == "a" and self.link is not None:
+            self.found.append((max(1, self.depth), " ".join("".join(self.words).split()), self.link))
+            self.link = None
+
+    def handle_data(self, data):
+        if self.link is not None:
+            self.words.append(data)
+
+
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:
     """path, content of the EPUB files at a path; the scan of all the functions below."""
     return spark.read.format("binaryFile").load(path).select("path", "content", F.conv(F.left(F.md5("content"), F.lit(15)), 16, 10).cast("bigint").alias("doc_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,15 @@ def load_document(
     spark: SparkSession, path: str, cache: str | None = None, extractor: pages.PageExtractor | None = None, toc_path: str | None = None,
     page_range: tuple[int, int] | None = None, margins=None, use_breadcrumb: bool = True, max_chunk: int = 2000,
 ) -> DataFrame:
-    """Segments of a document: those saved at ``cache`` if they can be read, else parsed and saved there."""
-    if cache and state.exists(spark, cache):
-        return spark.read.parquet(cache)
+    """Segments of a document: those saved under ``cache`` if they can be read, else parsed and saved there.
+
+    What is saved goes by the contents of the file and of its contents list, and by all settings.
+    """
+    if cache:
+        given = [page_range, margins, use_breadcrumb, max_chunk, *(state.fingerprint(spark, p) for p in (path, toc_path) if p)]
+        cache = f"{cache.rstrip('/')}/{hashlib.sha256(repr(given).encode()).hexdigest()[:32]}"
+        if state.exists(spark, cache):
+            return spark.read.parquet(cache)
     suffix = os.path.splitext(path)[1].lower()
     if suffix == ".epub":
         files = epub.read_epubs(spark, path)

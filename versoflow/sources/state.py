@@ -72,6 +72,12 @@ def choose_mode(modes: DataFrame, *wanted: str | None) -> DataFrame:
     return modes.withColumn("__r", rank).orderBy("__r", "mode_id").limit(1).drop("__r")
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Hash of the contents of the files at a path."""
+    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"))
+    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")).first()["h"]
+
+
 def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Replace the state at a path; the commit is atomic as far as the file system's rename is."""
     writer = df.write.mode("overwrite")
@@ -89,8 +95,8 @@ def reset(spark: SparkSession, path: str) -> bool:
 
 
 def recovered_context(spark: SparkSession, path: str, most: int = 2000) -> str:
-    """The last characters of a rendered file; empty if there is none. Only its last lines are brought here."""
+    """The last characters of a rendered file; empty if there is none. Only the ends of its last lines are brought here."""
     if not exists(spark, path):
         return ""
-    lines = spark.read.text(path).select("value").tail(most)
+    lines = spark.read.text(path).select(F.right("value", F.lit(most)).alias("value")).tail(most)
     return "\n".join(r.value for r in lines)[-most:]
