@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoflow.functions import html as H
@@ -14,17 +14,37 @@ from versoflow.operators import glossary, status, translate
 from versoflow.plans.common import LATEST, WS, blank_sql, read, strip_sql
 from versoflow.sources import sinks
 
-#: Replies made from the current segments, five a batch, in six shapes by batch: an array, a fenced one, one cut off,
-#: one in single quotes, one without its last item, and no JSON at all.
-_CLEAN = "[^A-Za-zÀ-ÿ ]"
+#: Replies made from the whole texts of the current segments, five a batch, in six shapes by batch: an array, a fenced one,
+#: one cut off, one in single quotes, one without its last item, and no JSON at all.
+_CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
+_ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def _escaped(text: Column, quote: str) -> Column:
+    """A text as it stands between quotes; control characters that JSON forbids are left out."""
+    out = F.regexp_replace(text, _CONTROL, "")
+    for a, b in (*_ESCAPES, (quote, f"\\{quote}")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def _escaped_sql(text: str, quote: str) -> str:
+    out = f"regexp_replace({text}, '{_CONTROL}', '', 'g')"
+    for a, b in (("chr(92)", "chr(92) || chr(92)"), ("chr(10)", "chr(92) || 'n'"), ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'"), (f"chr({ord(quote)})", f"chr(92) || chr({ord(quote)})")):
+        out = f"replace({out}, {a}, {b})"
+    return out
+
+
+#: Undoing the escapes of a quoted reply, as the patterns' way does.
+_UNESCAPED_SQL = "replace(replace(replace({0}, chr(92) || chr(34), chr(34)), chr(92) || chr(39), chr(39)), chr(92) || 'n', chr(10))"
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
-    rows = status.batches(status.latest_segments(read(spark, d, "segments")), 5)
-    text = F.left(F.regexp_replace(F.coalesce("original_text", F.lit("")), _CLEAN, ""), F.lit(80))
+    rows = status.batches(status.latest_segments(read(spark, d, "segments"), ["row_id", "original_text", "content_type"]), 5)
+    text = F.coalesce("original_text", F.lit(""))
     grouped = rows.groupBy("doc_id", F.col("batch_no").alias("batch_id")).agg(F.array_sort(F.collect_list(F.struct("segment_id", text.alias("t")))).alias("rows"))
-    item = lambda r: F.concat(F.lit('{"id": '), r["segment_id"].cast("string"), F.lit(', "translation": "'), r["t"], F.lit('"}'))
-    quoted = lambda r: F.concat(F.lit("{'id': "), r["segment_id"].cast("string"), F.lit(", 'translation': '"), r["t"], F.lit("'}"))
+    item = lambda r: F.concat(F.lit('{"id": '), r["segment_id"].cast("string"), F.lit(', "translation": "'), _escaped(r["t"], '"'), F.lit('"}'))
+    quoted = lambda r: F.concat(F.lit("{'id': "), r["segment_id"].cast("string"), F.lit(", 'translation': '"), _escaped(r["t"], "'"), F.lit("'}"))
     whole = F.concat(F.lit("["), F.array_join(F.transform("rows", item), ", "), F.lit("]"))
     kind = (F.col("doc_id") + F.col("batch_id")) % 6
     raw = (
@@ -40,10 +60,10 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 
 _RESPONSES = f"""{LATEST}, batched AS (
     SELECT doc_id, segment_id, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY segment_id, row_id) - 1) // 5 + 1 AS BIGINT) AS batch_id,
-        left(regexp_replace(coalesce(original_text, ''), '{_CLEAN}', '', 'g'), 80) AS t FROM latest
+        coalesce(original_text, '') AS t FROM latest
 ), grouped AS (
-    SELECT doc_id, batch_id, list(segment_id ORDER BY segment_id) AS ids, list('{{"id": ' || segment_id || ', "translation": "' || t || '"}}' ORDER BY segment_id) AS items,
-        list('{{''id'': ' || segment_id || ', ''translation'': ''' || t || '''}}' ORDER BY segment_id) AS quoted FROM batched GROUP BY doc_id, batch_id
+    SELECT doc_id, batch_id, list(segment_id ORDER BY segment_id) AS ids, list('{{"id": ' || segment_id || ', "translation": "' || {_escaped_sql('t', '"')} || '"}}' ORDER BY segment_id) AS items,
+        list('{{''id'': ' || segment_id || ', ''translation'': ''' || {_escaped_sql('t', "'")} || '''}}' ORDER BY segment_id) AS quoted FROM batched GROUP BY doc_id, batch_id
 ), whole AS (SELECT *, '[' || array_to_string(items, ', ') || ']' AS w, (doc_id + batch_id) % 6 AS kind FROM grouped
 ), responses AS (
     SELECT doc_id, batch_id, ids, CASE kind WHEN 0 THEN w WHEN 1 THEN '```json' || chr(10) || w || chr(10) || '```' WHEN 2 THEN left(w, CAST(floor(length(w) * 2 / 3) AS INT))
@@ -63,10 +83,10 @@ _RESPONSES = f"""{LATEST}, batched AS (
 ), asked AS (SELECT *, unnest(ids) AS segment_id FROM picked
 ), placed AS (SELECT *, list_position(list_reverse(found), CAST(segment_id AS VARCHAR)) AS back FROM asked
 ), got AS (
-    SELECT *, CASE WHEN back > 0 THEN texts[len(found) - back + 1] END AS t, back = 1 AS final_ FROM placed
+    SELECT * EXCLUDE (t), CASE WHEN route = 'fallback' THEN {_UNESCAPED_SQL.format('t')} ELSE t END AS t FROM (SELECT *, CASE WHEN back > 0 THEN texts[len(found) - back + 1] END AS t, back = 1 AS final_ FROM placed)
 )"""
 _PARSED = f"""SELECT doc_id, batch_id, segment_id, route, coalesce(
-    CASE WHEN route = 'fallback' AND final_ AND NOT ends_with(regexp_replace(raw, '\\s+$', ''), ']') AND t <> '' AND NOT regexp_matches(regexp_replace(t, '\\s+$', ''), '{J.SENTENCE_END}') THEN t || '{J.CUT_MARK}' ELSE t END,
+    CASE WHEN route = 'fallback' AND final_ AND NOT ends_with(regexp_replace(raw, '{WS}+$', ''), ']') AND t <> '' AND NOT regexp_matches(regexp_replace(t, '{WS}+$', ''), '{J.SENTENCE_END}') THEN t || '{J.CUT_MARK}' ELSE t END,
     CASE route WHEN 'strict' THEN '{T.MISSING_TRANSLATION}' WHEN 'fallback' THEN '{T.MISSING_IN_RESPONSE}' ELSE '{T.PARSE_ERROR}' END) AS translation FROM got"""
 
 
@@ -93,18 +113,17 @@ def glossary_reply_entries(spark: SparkSession, d: str) -> DataFrame:
     body = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "translation"))), lambda r: F.concat(F.lit('"'), r["term"], F.lit('": "'), r["translation"], F.lit('"')))
     raw = rows.groupBy("batch_id").agg(F.concat(F.lit('{"status": "ok", '), F.array_join(body, ", ")).alias("raw"))
     each = raw.select("batch_id", F.explode(J.fallback_entries(F.col("raw"))).alias("e"))
-    return each.groupBy("batch_id", F.col("e.k").alias("term")).agg(F.count("*").alias("n"))
+    return each.groupBy("batch_id", F.col("e.k").alias("term"), F.col("e.v").alias("translation")).agg(F.count("*").alias("n"))
 
 
-GLOSSARY_REPLY_ENTRIES = "SELECT batch_id, term, count(*) AS n FROM glossary_batch WHERE term IS NOT NULL AND translation IS NOT NULL AND term <> '' AND NOT lower(term) IN ('id', 'type', 'status', 'error') GROUP BY batch_id, term"
+GLOSSARY_REPLY_ENTRIES = "SELECT batch_id, term, translation, count(*) AS n FROM glossary_batch WHERE term IS NOT NULL AND translation IS NOT NULL AND term <> '' AND NOT lower(term) IN ('id', 'type', 'status', 'error') GROUP BY batch_id, term, translation"
 
 
 def glossary_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Entries of glossary replies in three shapes by batch: a dictionary, a list of dictionaries, a list of pairs."""
-    plain = lambda c: ~F.contains(c, F.lit('"')) & ~F.contains(c, F.lit("\\"))
-    rows = read(spark, d, "glossary_batch").where(plain(F.col("term")) & plain(F.col("translation")))
+    rows = read(spark, d, "glossary_batch").where("term is not null and translation is not null")
     each = F.array_sort(F.collect_list(F.struct("ord", "term", "translation")))
-    pair = lambda a, m, z: F.array_join(F.transform("r", lambda x: F.concat(F.lit(a), x["term"], F.lit(m), x["translation"], F.lit(z))), ", ")
+    pair = lambda a, m, z: F.array_join(F.transform("r", lambda x: F.concat(F.lit(a), _escaped(x["term"], '"'), F.lit(m), _escaped(x["translation"], '"'), F.lit(z))), ", ")
     kind = F.col("batch_id") % 3
     each_once = rows.groupBy("batch_id", "term").agg(F.min(F.struct("ord", "translation")).alias("x")).select("batch_id", "term", "x.ord", "x.translation")
     grouped = each_once.groupBy("batch_id").agg(each.alias("r"))
@@ -114,11 +133,12 @@ def glossary_shapes(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit("["), pair('["', '", "', '"]'), F.lit("]")))
     )
     found = grouped.select("batch_id", F.explode(J.flat_entries(raw)).alias("e"))
-    return found.select("batch_id", F.col("e.k").alias("term")).distinct()
+    return found.select("batch_id", F.col("e.k").alias("term"), F.col("e.v").alias("translation")).distinct()
 
 
-GLOSSARY_SHAPES = f"""SELECT DISTINCT batch_id, {strip_sql('term')} AS term FROM glossary_batch
-WHERE NOT {blank_sql('term')} AND NOT {blank_sql('translation')} AND NOT contains(term || translation, '"') AND NOT contains(term || translation, chr(92))"""
+GLOSSARY_SHAPES = f"""SELECT DISTINCT batch_id, {strip_sql('term')} AS term, {strip_sql('translation')} AS translation FROM (
+    SELECT batch_id, term, arg_min(translation, (ord, translation)) AS translation FROM glossary_batch WHERE term IS NOT NULL AND translation IS NOT NULL GROUP BY batch_id, term)
+WHERE NOT {blank_sql('term')} AND NOT {blank_sql('translation')} AND lower({strip_sql('term')}) <> 'id'"""
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -218,17 +238,17 @@ SELECT p.row_id, md5(coalesce(string_agg(block, '' ORDER BY k), '')) AS md5 FROM
 
 
 def rendered_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Parts and characters of every book's rendering, its head included."""
+    """Every part of every book's rendering, its head included."""
     rows = status.latest_segments(read(spark, d, "segments"))
     heads = read(spark, d, "books").select("doc_id", F.col("file_name").alias("title"), F.upper("file_name").alias("translated_title"))
     parts = sinks.markdown_parts(rows, heads, use_breadcrumb=True)
-    return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.char_length("markdown")).alias("n_chars"), F.max(F.col("part")).alias("last_part"))
+    return parts.select("doc_id", "part", F.md5("markdown").alias("md5"))
 
 
 RENDERED_DOCUMENTS = f"""WITH {LATEST}, parts AS (
-    SELECT doc_id, segment_id AS part, length(markdown) AS n FROM ({_markdown_sql('latest', True)})
-    UNION ALL SELECT doc_id, -1, length('# ' || upper(file_name) || ' - ' || file_name || chr(10) || chr(10) || '---' || chr(10) || chr(10)) FROM books
-) SELECT doc_id, count(*) AS n_parts, CAST(sum(n) AS BIGINT) AS n_chars, max(part) AS last_part FROM parts GROUP BY doc_id"""
+    SELECT doc_id, segment_id AS part, markdown FROM ({_markdown_sql('latest', True)})
+    UNION ALL SELECT doc_id, -1, '# ' || upper(file_name) || ' - ' || file_name || chr(10) || chr(10) || '---' || chr(10) || chr(10) FROM books
+) SELECT doc_id, part, md5(markdown) AS md5 FROM parts"""
 
 
 def page_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +269,19 @@ def page_marks_found(spark: SparkSession, d: str) -> DataFrame:
 def markdown_inline_html(spark: SparkSession, d: str) -> DataFrame:
     """Inline Markdown of documents as tags: how many of each kind."""
     rows = read(spark, d, "documents").where("text is not null").select("doc_id", T.inline_markdown_to_html("text").alias("h"))
-    return rows.select("doc_id", *[F.size(F.regexp_extract_all("h", F.lit(f"<{t}[ >]"), F.lit(0))).alias(f"n_{t}") for t in ("a", "code", "del", "strong", "em")])
+    return rows.select("doc_id", *[F.size(F.regexp_extract_all("h", F.lit(f"<{t}[ >]"), F.lit(0))).alias(f"n_{t}") for t in ("a", "code", "del", "strong")])
+
+
+_INLINE = "text"
+for _pattern, _to in T.INLINE_MARKDOWN[:5]:
+    _INLINE = f"regexp_replace({_INLINE}, '{_pattern}', '{_to.replace('$', chr(92))}', 'g')"
+MARKDOWN_INLINE_HTML = "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(h, '<{t}[ >]')) AS INT) AS n_{t}" for t in ("a", "code", "del", "strong")) + f" FROM (SELECT doc_id, {_INLINE} AS h FROM documents WHERE text IS NOT NULL)"
+
+
+def markdown_emphasis(spark: SparkSession, d: str) -> DataFrame:
+    """Emphasised passages of documents (its patterns look around, which SQL's don't)."""
+    rows = read(spark, d, "documents").where("text is not null").select("doc_id", T.inline_markdown_to_html("text").alias("h"))
+    return rows.select("doc_id", F.size(F.regexp_extract_all("h", F.lit("<em[ >]"), F.lit(0))).alias("n_em"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -312,6 +344,9 @@ def two_phase_e2e(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.count_if(T.is_success("translated_text")).alias("n_success"))
 
 
+TWO_PHASE_E2E = f"WITH {LATEST} SELECT doc_id, count(*) AS n_segments, count_if(coalesce(original_text, '') <> '') AS n_success FROM latest GROUP BY doc_id"
+
+
 def request_items(spark: SparkSession, d: str) -> DataFrame:
     """Requests: ids, context and size of every batch."""
     rows = status.latest_segments(read(spark, d, "segments"))
@@ -334,11 +369,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         response_parse, response_routes, glossary_reply_entries, glossary_shapes, prompts, system_instructions, text_scalars, clean_text, markdown_render, bilingual_paragraphs, rendered_documents, page_marks,
-        page_marks_found, markdown_inline_html, html_blocks, html_text, html_chapters, html_refilled, stub_translate_e2e, stub_faulty_e2e, two_phase_e2e, request_items,
+        page_marks_found, markdown_inline_html, markdown_emphasis, html_blocks, html_text, html_chapters, html_refilled, stub_translate_e2e, stub_faulty_e2e, two_phase_e2e, request_items,
     )
 }
 SQL = {
     "response_parse": RESPONSE_PARSE, "response_routes": RESPONSE_ROUTES, "glossary_reply_entries": GLOSSARY_REPLY_ENTRIES, "glossary_shapes": GLOSSARY_SHAPES, "system_instructions": SYSTEM_INSTRUCTIONS, "text_scalars": TEXT_SCALARS, "clean_text": CLEAN_TEXT,
-    "rendered_documents": RENDERED_DOCUMENTS, "stub_translate_e2e": STUB_TRANSLATE_E2E, "request_items": REQUEST_ITEMS,
+    "rendered_documents": RENDERED_DOCUMENTS, "stub_translate_e2e": STUB_TRANSLATE_E2E, "request_items": REQUEST_ITEMS, "two_phase_e2e": TWO_PHASE_E2E, "markdown_inline_html": MARKDOWN_INLINE_HTML,
     "markdown_render": MARKDOWN_RENDER, "bilingual_paragraphs": BILINGUAL_PARAGRAPHS, "page_marks_found": PAGE_MARKS,
 }

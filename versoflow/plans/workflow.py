@@ -351,10 +351,11 @@ SELECT doc_id, ord, translation FROM toc_items LEFT JOIN t ON t.key = {_NORM('ti
 
 def glossary_hash(spark: SparkSession, d: str) -> DataFrame:
     """The hash under which a glossary is cached, whatever its order."""
-    return cache.glossary_hash(glossary.merged(read(spark, d, "glossary_batch"))).select("n_terms", F.char_length("content_hash").alias("n_hex"))
+    return cache.glossary_hash(glossary.merged(read(spark, d, "glossary_batch"))).select("n_terms", "content_hash")
 
 
-GLOSSARY_HASH = f"SELECT count(DISTINCT term) AS n_terms, 32 AS n_hex FROM {_TERMS}"
+GLOSSARY_HASH = f"""SELECT count(*) AS n_terms, md5(string_agg(h, '' ORDER BY h)) AS content_hash FROM (
+    SELECT md5(CAST(json_object('term', term, 'translation', translation) AS VARCHAR)) AS h FROM (SELECT term, arg_max(translation, (batch_id, ord, translation)) AS translation FROM {_TERMS} GROUP BY term))"""
 
 QUERIES = {
     f.__name__: f
