@@ -257,7 +257,11 @@ def page_marks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", R.page_numbers("markdown").alias("pages"), F.char_length(R.without_marks("markdown")).alias("n_chars")).select("row_id", F.size("pages").alias("n_pages"), F.get("pages", F.lit(0)).alias("page"), "n_chars")
 
 
-PAGE_MARKS = f"""SELECT row_id, CAST(CASE WHEN marked THEN 1 ELSE 0 END AS INT) AS n_pages, CASE WHEN marked THEN page_index + 1 END AS page FROM (
+_MARK = "\\n*#{6}\\s*---\\s*原文第\\s*(\\d+)\\s*页\\s*---\\s*\\n*"
+PAGE_MARKS = f"""SELECT row_id, CAST(len(pages) AS INT) AS n_pages, CAST(pages[1] AS INT) AS page,
+    CAST(length(regexp_replace(regexp_replace(regexp_replace(markdown, '{_MARK}', chr(10) || chr(10) || '<!-- PAGE_MARKER_0 -->' || chr(10) || chr(10), 'g'), '🔖\\s*\\*\\*Segment\\s+\\d+\\*\\*(?: \\(Image\\))?.*', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS INT) AS n_chars
+FROM (SELECT *, regexp_extract_all(markdown, '{_MARK}', 1) AS pages FROM ({_markdown_sql('segments', False)}))"""
+PAGE_MARKS_FOUND = f"""SELECT row_id, CAST(CASE WHEN marked THEN 1 ELSE 0 END AS INT) AS n_pages, CASE WHEN marked THEN page_index + 1 END AS page FROM (
     SELECT *, content_type <> 'image' AND page_index IS NOT NULL AND NOT coalesce(is_new_chapter, false) AS marked FROM segments)"""
 
 
@@ -365,6 +369,19 @@ REQUEST_ITEMS = f"""WITH {LATEST}, before AS (
 SELECT doc_id, batch_id, bool_or(content_type = 'image') AS vision, string_agg(segment_id, ',' ORDER BY segment_id) AS ids,
     md5(arg_min({strip_sql(f"right({strip_sql('c')}, 500)")}, segment_id)) AS context_md5, (SELECT n FROM whole) AS glossary_chars FROM before GROUP BY doc_id, batch_id"""
 
+PROMPTS = f"""WITH {LATEST}, before AS (
+    SELECT *, coalesce(lag(original_text) OVER (PARTITION BY doc_id ORDER BY segment_id, row_id), '') AS c,
+        CAST((row_number() OVER (PARTITION BY doc_id ORDER BY segment_id, row_id) - 1) // 5 + 1 AS BIGINT) AS batch_id FROM latest
+), terms AS (
+    SELECT {strip_sql('term')} AS term, {strip_sql('translation')} AS translation, batch_id, ord FROM glossary_batch WHERE NOT {blank_sql('term')} AND NOT {blank_sql('translation')}
+), lines AS (SELECT term, arg_max(translation, (batch_id, ord, translation)) AS translation FROM terms GROUP BY term
+), whole AS (SELECT sum(length('- **' || term || '**: ' || translation)) + count(*) - 1 AS n FROM lines
+), asked AS (
+    SELECT doc_id, batch_id, arg_min({strip_sql(f"right({strip_sql('c')}, 500)")}, segment_id) AS context,
+        CAST(to_json(list({{'id': segment_id, 'text': coalesce(original_text, '')}} ORDER BY segment_id)) AS VARCHAR) AS items FROM before GROUP BY doc_id, batch_id)
+SELECT doc_id, batch_id, CAST(length('What comes before:') + 1 + CASE WHEN {blank_sql('context')} THEN {len(P.BEGINNING)} ELSE length(context) END + 2
+    + length('Use these translations:') + 1 + (SELECT n FROM whole) + 2 + length('Passages:') + 1 + length(items) AS INT) AS n_chars FROM asked"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -375,5 +392,5 @@ QUERIES = {
 SQL = {
     "response_parse": RESPONSE_PARSE, "response_routes": RESPONSE_ROUTES, "glossary_reply_entries": GLOSSARY_REPLY_ENTRIES, "glossary_shapes": GLOSSARY_SHAPES, "system_instructions": SYSTEM_INSTRUCTIONS, "text_scalars": TEXT_SCALARS, "clean_text": CLEAN_TEXT,
     "rendered_documents": RENDERED_DOCUMENTS, "stub_translate_e2e": STUB_TRANSLATE_E2E, "request_items": REQUEST_ITEMS, "two_phase_e2e": TWO_PHASE_E2E, "markdown_inline_html": MARKDOWN_INLINE_HTML,
-    "markdown_render": MARKDOWN_RENDER, "bilingual_paragraphs": BILINGUAL_PARAGRAPHS, "page_marks_found": PAGE_MARKS,
+    "markdown_render": MARKDOWN_RENDER, "bilingual_paragraphs": BILINGUAL_PARAGRAPHS, "page_marks": PAGE_MARKS, "page_marks_found": PAGE_MARKS_FOUND, "prompts": PROMPTS,
 }
