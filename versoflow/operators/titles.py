@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from versoflow.functions.text import has_chinese, is_blank, strip
 
 
-def candidates(segments: DataFrame) -> DataFrame:
-    """Distinct titles of new chapters that aren't blank or Chinese, with their first place in each document."""
-    rows = segments.where(F.coalesce("is_new_chapter", F.lit(False)) & ~is_blank("chapter_title") & ~has_chinese("chapter_title"))
-    return rows.groupBy("doc_id", F.col("chapter_title").alias("title")).agg(F.min("segment_id").alias("first_segment"), F.count("*").alias("n_chapters"))
+def candidates(segments: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Distinct titles of new chapters that aren't blank or Chinese, with their first place in each document.
+
+    ``documents`` (doc_id, title): the documents' own titles, which stand before all chapters (place -1).
+    """
+    rows = segments.where(F.coalesce("is_new_chapter", F.lit(False))).select("doc_id", F.col("chapter_title").alias("title"), "segment_id", F.lit(1).alias("__n"))
+    if documents is not None:
+        rows = rows.unionByName(documents.select("doc_id", "title", F.lit(-1).cast("bigint").alias("segment_id"), F.lit(0).alias("__n")))
+    rows = rows.where(~is_blank("title") & ~has_chinese("title"))
+    return rows.groupBy("doc_id", "title").agg(F.min("segment_id").alias("first_segment"), F.sum("__n").alias("n_chapters"))
 
 
 def backfill(segments: DataFrame, translations: DataFrame) -> DataFrame:

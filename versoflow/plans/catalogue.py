@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versoflow.plans import replies, segmenting, workflow
+from versoflow.plans import parts, replies, segmenting, workflow
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**segmenting.QUERIES, **workflow.QUERIES, **replies.QUERIES}
-SQL: dict[str, str] = {**segmenting.SQL, **workflow.SQL, **replies.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**segmenting.QUERIES, **workflow.QUERIES, **replies.QUERIES, **parts.QUERIES}
+SQL: dict[str, str] = {**segmenting.SQL, **workflow.SQL, **replies.SQL, **parts.SQL}
