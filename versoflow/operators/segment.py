@@ -51,6 +51,10 @@ def _sections(units: DataFrame, chapters: DataFrame, default_title: str = DEFAUL
     return running_sum(out, "doc_id", "pos", F.col("starts").cast("int"), "section")
 
 
+#: Sections that are folded together: a group holds so many chapters at most, whatever the size of its document.
+SECTIONS = 64
+
+
 def _fold(lengths: list[int], sections: list[int], images: list[bool], most: int) -> list[int]:
     """Chunk number of each unit: a chunk ends when its lengths reach the limit, its section changes, or an image comes."""
     out, chunk, size, section, open_ = [], 0, 0, None, False
@@ -67,7 +71,8 @@ def _fold(lengths: list[int], sections: list[int], images: list[bool], most: int
 def _chunks(sections: DataFrame, max_chunk: int) -> DataFrame:
     """``chunk`` of each unit (doc_id, pos, n, image, section and what else it has).
 
-    The fold needs a document's units in order, but only their lengths and sections: the texts stay where they are.
+    The fold needs units in order, but only their lengths: the texts stay where they are. A chunk never crosses a section,
+    so every SECTIONS sections are folded apart, and their chunks are numbered on by sums of counts.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,8 +80,12 @@ def _chunks(sections: DataFrame, max_chunk: int) -> DataFrame:
         pdf["chunk"] = _fold(pdf["n"].fillna(0).astype(int).tolist(), pdf["section"].tolist(), pdf["image"].fillna(False).tolist(), max_chunk)
         return pdf
 
+    sections = sections.withColumn("__part", F.floor(F.col("section") / SECTIONS))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sections.schema)
-    return sections.groupBy("doc_id").applyInPandas(fold, kinds + ", chunk bigint")
+    folded = materialize(sections.groupBy("doc_id", "__part").applyInPandas(fold, kinds + ", chunk bigint"))
+    counts = folded.groupBy("doc_id", "__part").agg((F.max("chunk") + 1).alias("__count"))
+    first = running_sum(counts, "doc_id", "__part", F.col("__count"), "__upto").select("doc_id", "__part", (F.col("__upto") - F.col("__count")).alias("__first"))
+    return folded.join(first, ["doc_id", "__part"]).withColumn("chunk", F.col("chunk") + F.col("__first")).drop("__first", "__part")
 
 
 def segments_from_units(units: DataFrame, chapters: DataFrame, max_chunk: int = MAX_CHUNK) -> DataFrame:
