@@ -219,11 +219,17 @@ class WordScores:
         missed = np.flatnonzero(self.keys[row] != cut.key)
         if len(missed):
             wanted = cut.key[missed]
-            unique, first = np.unique(wanted, return_index=True)
-            new = ~np.isin(unique, self.sorted)
-            if new.any():
-                self._add(cut, unique[new], missed[first[new]])
-            row[missed] = self.order[np.searchsorted(self.sorted, wanted)]
+            at = np.searchsorted(self.sorted, wanted)
+            known = np.zeros(len(at), dtype=bool)
+            if len(self.sorted):
+                known = self.sorted[np.minimum(at, len(self.sorted) - 1)] == wanted
+            fresh = np.flatnonzero(~known)
+            if len(fresh):
+                order = fresh[np.argsort(wanted[fresh])]
+                first = order[np.concatenate(([True], wanted[order[1:]] != wanted[order[:-1]]))]
+                self._add(cut, wanted[first], missed[first])
+                at = np.searchsorted(self.sorted, wanted)
+            row[missed] = self.order[at]
         return row
 
     def _add(self, cut: Cut, keys: np.ndarray, at: np.ndarray) -> None:
@@ -235,8 +241,8 @@ class WordScores:
         slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
         free = self.slots[slot] == 0
         self.slots[slot[free]] = row[free]
-        self.order = np.argsort(self.keys[1:]) + 1
-        self.sorted = self.keys[self.order]
+        at = np.searchsorted(self.sorted, keys)
+        self.sorted, self.order = np.insert(self.sorted, at, keys), np.insert(self.order, at, row)
 
 
 class Rated:
@@ -276,13 +282,13 @@ def _in_runs(cut: Cut, latin: np.ndarray, runs: tuple[int, int]) -> np.ndarray:
 ROWS, CHARACTERS = 1000, 1_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
-    """Batches cut to at most ROWS rows and, but for single rows, CHARACTERS characters, with the columns as lists."""
+def slices(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int = ROWS) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Batches cut to at most so many rows and, but for single rows, CHARACTERS characters, with the columns as lists."""
     for batch in batches:
         lists = [batch.column(c).to_pylist() for c in columns]
         sizes = np.cumsum([0, *(sum(len(t) for t in row if t) for row in zip(*lists))])
         at = 0
         while at < batch.num_rows:
-            to = min(at + ROWS, max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHARACTERS, side="right")) - 1))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHARACTERS, side="right")) - 1))
             yield batch.slice(at, to - at), [x[at:to] for x in lists]
             at = to
