@@ -548,3 +548,15 @@ def test_columns(spark, data):
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, data).columns == columns
     assert F is not None
+
+
+def test_tokens_against_the_library(spark):
+    import tiktoken
+
+    from versoflow.llm import tokens
+
+    ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}", "rb"))}
+    encode = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = ["The dogs love 12 trees.", "漢字かな ", None, "", "a\n\n b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    assert [r.n_tokens for r in tokens.token_counts(df, ["id"]).orderBy("id").collect()] == [len(encode(t)) if t else 0 for t in texts]
