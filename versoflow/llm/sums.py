@@ -66,15 +66,18 @@ class Sums:
             self.keys, self.sums = keys[head], np.add.reduceat(sums, head) if len(head) else sums
         self.pending, self.size = [], 0
 
-    def sent(self, buckets: int, kept=None) -> Iterator[pa.RecordBatch]:
-        """Everything so far by bucket, but what ``kept``(sources, targets) leaves out; nothing is left."""
+    def sent(self, buckets: int, kept=None, shift: int = 28) -> Iterator[pa.RecordBatch]:
+        """Everything so far by bucket, but what ``kept``(high, low halves of keys) leaves out; nothing is left.
+
+        Keys go to buckets by what stands above ``shift`` bits: runs of keys stay side by side, and one high half with many
+        keys is spread.
+        """
         self.merge()
         if len(self.keys) and kept is not None:
             keep = kept(self.keys >> np.uint64(32), self.keys & np.uint64(0xFFFFFFFF))
             self.keys, self.sums = self.keys[keep], self.sums[keep]
-        # a sixteenth of a source word's pairs goes to the same bucket, the targets side by side
         with np.errstate(over="ignore"):
-            mixed = (self.keys >> np.uint64(28)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (self.keys >> np.uint64(shift)) * np.uint64(0x9E3779B97F4A7C15)
             of = ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         order = sorted_order(of, buckets)
         bounds = np.searchsorted(of[order], np.arange(buckets + 1))
