@@ -209,3 +209,18 @@ def test_entry_without_the_training_data_package():
     root = str(Path(__file__).parent.parent)
     code = f"import sys; sys.path.insert(0, {root!r}); sys.modules['regex'] = None; sys.modules['versoflow.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'chunk_segments' in q and not [n for n in q if n.startswith('p1_')]; assert e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], timeout=120).returncode == 0
+
+
+def test_refilled_containers(spark):
+    from versoflow.sources import epub, refill
+
+    one = epub.write_epub([("A", "<h2>Start</h2><p>The dogs love the old trees.</p><p>Nobody knows.</p>"), ("B", "<p>The dogs love the old trees!</p>")], "T")
+    two = epub.write_epub([("C", "<p>Other words here.</p>")], "U")
+    epubs = spark.createDataFrame([(1, bytearray(one)), (2, bytearray(two)), (3, bytearray(b"no container"))], "doc_id long, content binary")
+    mapping = refill.mapping_of(spark.createDataFrame([("The dogs  love the old trees.", "Die Hunde *lieben* die alten Bäume."), ("Start", "Anfang"), (" ", "x"), (None, "y")], "original string, translation string"))
+    got = {r.doc_id: r for r in refill.refilled_epubs(epubs, mapping).collect()}
+    text = " ".join(h for _, h in epub.Container(bytes(got[1].content)).documents())
+    assert got[1].replaced == 2 and "<p>Die Hunde <em>lieben</em> die alten Bäume.</p>" in text and "<h2>Anfang</h2>" in text and "Nobody knows." in text and "old trees!" in text
+    assert (got[2].replaced, bytes(got[2].content)) == (0, two) and (got[3].replaced, bytes(got[3].content)) == (0, b"no container")
+    assert refill.refilled_epubs(epubs.where("false"), mapping).count() == 0
+    assert {r.doc_id: r.replaced for r in refill.refilled_epubs(epubs, mapping, fuzzy=False, keep_original=True).collect()} == {1: 2, 2: 0, 3: 0}

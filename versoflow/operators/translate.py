@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from versoflow.functions.repair import parse_responses
 from versoflow.functions.text import EMPTY_RESPONSE
 from versoflow.operators.context import previous_context
-from versoflow.operators.glossary import as_list
+from versoflow.operators.glossary import as_list, first_terms
 from versoflow.operators.status import batches
 from versoflow.session import materialize
 
@@ -78,10 +78,14 @@ def with_retries(call: Callable[[], str], attempts: int = 3, first_wait: float =
     raise AssertionError("unreachable")
 
 
+#: Terms of a glossary that a prompt is given, at most: the first by appearance.
+MOST_TERMS = 20_000
+
+
 def requests(segments: DataFrame, batch_size: int, glossary: DataFrame | None = None, max_chunk: int = 2000, max_context: int = 2000) -> DataFrame:
     """One row a batch: doc_id, batch_id, vision, expected_ids, items (JSON), context, glossary_text.
 
-    The context is that of the batch's first segment; the glossary is one row, so it is broadcast.
+    The context is that of the batch's first segment; the glossary is one row of at most MOST_TERMS terms, so it is broadcast.
     """
     rows = batches(previous_context(segments, max_chunk, max_context), batch_size)
     ordered = F.array_sort(F.collect_list(F.struct("segment_id", "row_id", F.coalesce("original_text", F.lit("")).alias("text"), "context")))
@@ -92,7 +96,7 @@ def requests(segments: DataFrame, batch_size: int, glossary: DataFrame | None =
     )
     if glossary is None:
         return out.withColumn("glossary_text", F.lit(""))
-    return out.crossJoin(F.broadcast(as_list(glossary).select("glossary_text")))  # one row, bounded by the glossary's most terms
+    return out.crossJoin(F.broadcast(as_list(first_terms(glossary, MOST_TERMS)).select("glossary_text")))  # one bounded row
 
 
 RESPONSES = "doc_id bigint, batch_id bigint, expected_ids array<bigint>, raw_text string, error string"
