@@ -231,6 +231,32 @@ def test_fuzzy_candidates_against_brute_force(spark):
     assert want <= got and len(want) > 30 and len(got) < len(left) * len(right) / 3
 
 
+def test_fuzzy_shuffles_no_text_of_the_table(spark):
+    def written():
+        rows = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(rows.apply(k).totalShuffleWrite() for k in range(rows.size()))
+
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(400)) for _ in range(400)]
+    mapping = spark.createDataFrame([(t, f"T{k}", (1, k, k, 0)) for k, t in enumerate(texts)], "key string, translation string, at struct<doc_id:long,segment_id:long,row_id:long,rank:int>")
+    blocks = spark.createDataFrame([(k, texts[k].rsplit(" ", 20)[0]) for k in range(3)], "id long, text string")
+    before = written()
+    assert {(r.id, r.translation) for r in matching.fuzzy_match(blocks, mapping, "id").collect()} == {(k, f"T{k}") for k in range(3)}
+    assert written() - before < sum(map(len, texts)) / 4
+
+
+def test_fuzzy_entries_of_live_rows(spark):
+    o = "The storks of the old harbour counted their ships before noon, and many of them left again."
+    rows = [(0, 1, 4, o, "old"), (1, 1, 4, o, "new"), (2, None, 5, o + " x", "none")]
+    df = segments(spark, [{"row_id": r, "doc_id": d, "segment_id": s, "original_text": a, "translated_text": b} for r, d, s, a, b in rows])
+    blocks = spark.createDataFrame([(1, o), (2, o + " x"), (3, None)], "id long, text string")
+    live = status.latest_ids(df)
+    got = matching.fuzzy_match(blocks, matching.entries(df), "id", live=live).collect()
+    assert {(r.id, r.translation, r.score) for r in got} == {(1, "new", 1.0), (2, "none", 1.0)}
+    want = matching.fuzzy_match(blocks, matching.translation_map(status.latest_segments(df)), "id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_running_context_has_no_reach(spark):
     # rows of one letter, empty and null ones: the last 500 characters go back over hundreds of rows, across stretches
     rng = random.Random(2)

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versoflow.functions.text import SPACE, has_cjk, is_blank, normalize, paragraphs, similarity, strip
+from versoflow.functions.text import SPACE, is_blank, normalize, paragraphs, similarity, strip
+from versoflow.operators.likeness import LIKE, near
 from versoflow.session import materialize
 
-#: Least similarity of a fuzzy match, exclusive, and least length of both texts.
-LIKE, LEAST = 0.85, 10
+#: Least length of both texts of a fuzzy match; its least similarity is LIKE, exclusive.
+LEAST = 10
+#: Numbers of texts that are broadcast to fetch them; beyond, the table is joined with them.
+HELD_ROWS = 2_000_000
+#: What names a row of segments.
+ROW = ("doc_id", "segment_id", "row_id")
 
 
-def translation_map(segments: DataFrame) -> DataFrame:
-    """key -> translation: whole texts and their paragraphs, normalised; the first that has a key wins.
+def entries(segments: DataFrame) -> DataFrame:
+    """key, translation, at: whole texts and their paragraphs, normalised, with their places. Rows are cut where they are read.
 
     Order is by document, segment and row; a segment's whole text comes before its paragraphs. Paragraphs pair by
     place; surplus translated ones are put behind the last pair, unless the original is a single paragraph, whose
     translation is the whole already.
     """
     rows = segments.where((F.col("content_type") == "text") & ~is_blank("original_text") & ~is_blank("translated_text"))
-    o, t = F.transform(paragraphs(strip("original_text")), strip), F.transform(paragraphs(strip("translated_text")), strip)
-    cut = rows.select("doc_id", "segment_id", "row_id", strip("original_text").alias("original"), strip("translated_text").alias("translated"), o.alias("o"), t.alias("t"))
+    original, translated = strip("original_text"), strip("translated_text")
+    # most texts are one paragraph: they are stripped once
+    o, t = (F.when(F.contains(x, F.lit("\n\n")), F.transform(paragraphs(x), strip)).otherwise(F.array(x)) for x in (original, translated))
+    cut = rows.select("doc_id", "segment_id", "row_id", original.alias("original"), translated.alias("translated"), o.alias("o"), t.alias("t"))
     n = F.size("o")
     rest = F.array_join(F.slice("t", n, F.greatest(F.lit(1), F.size("t") - n + 1)), "\n\n")
     paired = F.transform("o", lambda p, k: F.struct(
@@ -30,10 +40,15 @@ def translation_map(segments: DataFrame) -> DataFrame:
     ))
     whole = F.array(F.struct(F.lit(0).alias("rank"), F.col("original").alias("original"), F.col("translated").alias("translated")))
     # a single paragraph is the whole text: nothing is added for it
-    entries = F.when(n > 1, F.concat(whole, paired)).otherwise(whole)
-    each = cut.select("doc_id", "segment_id", "row_id", F.explode(entries).alias("e")).where("e.translated is not null")
-    keyed = each.select(normalize("e.original").alias("key"), "e.translated", F.struct("doc_id", "segment_id", "row_id", "e.rank").alias("at")).where("key <> ''")
-    return keyed.groupBy("key").agg(F.min_by("translated", "at").alias("translation"), F.min("at").alias("at"))
+    parts = F.when(n > 1, F.concat(whole, paired)).otherwise(whole)
+    each = cut.select("doc_id", "segment_id", "row_id", F.explode(parts).alias("e")).where("e.translated is not null and e.original <> ''")
+    key = F.regexp_replace("e.original", f"{SPACE}+", " ")  # normalised, since all are stripped
+    return each.select(key.alias("key"), F.col("e.translated").alias("translation"), F.struct("doc_id", "segment_id", "row_id", "e.rank").alias("at"))
+
+
+def translation_map(segments: DataFrame) -> DataFrame:
+    """key -> translation of ``entries``; the first that has a key wins."""
+    return entries(segments).groupBy("key").agg(F.min_by("translation", "at").alias("translation"), F.min("at").alias("at"))
 
 
 def exact_match(blocks: DataFrame, mapping: DataFrame, text: str = "text") -> DataFrame:
@@ -42,85 +57,32 @@ def exact_match(blocks: DataFrame, mapping: DataFrame, text: str = "text") -> Da
     return blocks.join(known, normalize(text) == F.col("__key"), "left").drop("__key")
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda w: w != ""))
-
-
-def _characters(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.replace(text, F.lit(" "), F.lit("")), ""), lambda c: c != ""))
-
-
-def _prefix_length(n: Column) -> Column:
-    """Tokens that must be looked at so that no pair above the similarity is missed: n - ceil(LIKE n) + 1."""
-    return (n - F.ceil(n * F.lit(LIKE)) + 1).cast("int")
-
-
-def _contained(longer: DataFrame, shorter: DataFrame) -> DataFrame:
-    """``long``, ``short``: texts of which the shorter, under 50 characters, may lie within the longer one.
-
-    A text inside one of n characters and above LIKE of its length begins at most e = floor((1 - LIKE) n) behind its start,
-    so the characters from e to n - e are in it whole. The longer text is keyed by its length and these; the shorter by
-    every length that the longer may have and the pieces of it that may be these: at most 45 keys.
-    """
-    off = lambda n: F.floor(n * F.lit(round(1 - LIKE, 9)) + F.lit(1e-9)).cast("int")
-    most = int(49 / LIKE) + 1
-    n = F.char_length("s")
-    one = longer.where(n <= most).select(F.col("s").alias("long"), n.alias("n"), F.substring(F.col("s"), off(n) + 1, n - 2 * off(n)).alias("part"))
-    lengths = F.sequence(n, F.floor(n / F.lit(LIKE)).cast("int"))
-    each = shorter.where(n < 50).select(F.col("s").alias("short"), n.alias("m"), F.explode(lengths).alias("n"))
-    places = F.sequence(F.greatest(F.lit(0), off(F.col("n")) - (F.col("n") - F.col("m"))), off(F.col("n")))
-    parts = each.select("short", "m", "n", F.explode(places).alias("p")).select("short", "n", F.substring(F.col("short"), F.col("p") + 1, F.col("n") - 2 * off(F.col("n"))).alias("part"))
-    return one.join(parts.distinct(), ["n", "part"]).select("long", "short")
-
-
-def _alike(left: DataFrame, right: DataFrame, tokens) -> DataFrame:
-    """``a``, ``key``: texts whose sets of tokens may be more alike than LIKE.
-
-    Prefix filter, lossless: tokens are ordered by rarity, and two sets more alike than LIKE share one of the rarest few of
-    both. Texts meet by these tokens and by like sizes of their sets, never all against all.
-    """
-    rarity = left.unionByName(right).distinct().select(F.explode(tokens(F.col("s"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
-        each = df.distinct().withColumn("t", tokens(F.col("s"))).select("s", F.size("t").alias("n"), F.explode("t").alias("token")).join(rarity, "token")
-        ranked = each.groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-        return ranked.select(F.col("s").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.slice("r", F.lit(1), _prefix_length(F.col("n")))).alias("r")).select(name, f"n_{name}", "r.token")
-
-    near = F.least("n_a", "n_key") >= F.ceil(F.lit(LIKE - 1e-9) * F.greatest("n_a", "n_key"))
-    return prefixes(left, "a").join(prefixes(right, "key"), "token").where(near).select("a", "key")
-
-
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``a``, ``key``: all pairs of texts (columns ``s``) whose similarity may be above LIKE, each once.
+    """``a``, ``key``: all pairs of texts (columns ``s``) whose similarity may be above LIKE, each once; see ``likeness``."""
+    named = [df.select(F.xxhash64("s").alias(f"{x}_id"), F.col("s").alias(name)).distinct() for df, x, name in ((left, "left", "a"), (right, "right", "key"))]
+    return near(left, right).join(named[0], "left_id").join(named[1], "right_id").select("a", "key")
 
-    Three ways to be similar: one lies within the other; the words are alike, of texts without CJK letters; the characters
-    are alike, if either has CJK letters. A text whose set of characters has more CJK ones than 1 - LIKE leaves room for
-    is like no text without them.
-    """
-    left, right = left.select("s").distinct(), right.select("s").distinct()
-    inside = _contained(left, right).select(F.col("long").alias("a"), F.col("short").alias("key"))
-    inside = inside.unionByName(_contained(right, left).select(F.col("short").alias("a"), F.col("long").alias("key")))
-    cjk = has_cjk("s")
-    plain = [df.where(~cjk) for df in (left, right)]
-    wide = [df.where(cjk) for df in (left, right)]
-    few = F.size(F.filter(_characters(F.col("s")), has_cjk)) <= F.lit(1 - LIKE + 1e-9) * F.size(_characters(F.col("s")))
-    parts = [_alike(*plain, _words), _alike(*wide, _characters), _alike(wide[0].where(few), plain[1], _characters), _alike(plain[0], wide[1].where(few), _characters)]
-    for part in parts:
-        inside = inside.unionByName(part)
-    return inside.distinct()
-
-
-def fuzzy_match(blocks: DataFrame, mapping: DataFrame, id_column: str, text: str = "text") -> DataFrame:
+
+def fuzzy_match(blocks: DataFrame, mapping: DataFrame, id_column: str, text: str = "text", live: DataFrame | None = None) -> DataFrame:
     """id, key, translation, score: for each block the most similar entry above 0.85, the earliest of equals.
 
-    Texts of under LEAST characters match nothing. Candidates lose no pair, see ``candidates``.
+    Texts of under LEAST characters match nothing. No pair is lost, see ``likeness``. ``mapping`` is read twice, for signatures
+    and for the texts of the pairs they give: it is ``entries`` (keys may repeat) or a table that is written already. Where
+    ``live`` (doc_id, segment_id, row_id) is given, entries of its rows alone count.
     """
-    # both sides are read for candidates and for scores: they are written once
     left = materialize(blocks.select(F.col(id_column).alias("__id"), normalize(text).alias("a")).where(F.char_length("a") >= LEAST))
-    right = materialize(mapping.select("key", "translation", "at").where(F.char_length("key") >= LEAST))
-    pairs = candidates(left.select(F.col("a").alias("s")), right.select(F.col("key").alias("s")))
-    scored = pairs.withColumn("score", similarity("a", "key")).where(F.col("score") > LIKE)
-    best = scored.join(right, "key").groupBy("a").agg(F.max_by(F.struct("key", "translation", "score"), F.struct("score", _earlier("at"))).alias("m"))
+    # no filter on the key here: it would be made once more for it
+    right = mapping.select("key", "translation", "at")
+    pairs = materialize(near(left.select(F.col("a").alias("s")), right.select(F.col("key").alias("s")), LEAST))
+    wanted = pairs.select("right_id").distinct()
+    found = right.withColumn("right_id", F.xxhash64("key")).join(F.broadcast(wanted) if wanted.count() <= HELD_ROWS else wanted, "right_id")
+    if live is not None:
+        rows = live.select(*[F.col(c).alias(f"__{c}") for c in ROW])
+        # each entry has one such row at most; a semi-join would be moved before the join above
+        found = found.join(rows.distinct(), reduce(and_, [F.col(f"at.{c}").eqNullSafe(F.col(f"__{c}")) for c in ROW]))
+    scored = pairs.join(left.select(F.xxhash64("a").alias("left_id"), "a").distinct(), "left_id").join(found, "right_id")
+    scored = scored.withColumn("score", F.when(F.char_length("key") >= LEAST, similarity("a", "key"))).where(F.col("score") > LIKE)
+    best = scored.groupBy("a").agg(F.max_by(F.struct("key", "translation", "score"), F.struct("score", _earlier("at"))).alias("m"))
     return left.join(best, "a").select(F.col("__id").alias(id_column), "m.key", "m.translation", "m.score")
 
 
@@ -131,6 +93,7 @@ def _earlier(at: str) -> Column:
 
 def match(blocks: DataFrame, mapping: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     """Exact matches, and fuzzy ones for the rest: id, translation, how (``exact``, ``fuzzy`` or null)."""
+    mapping = materialize(mapping)
     exact = exact_match(blocks.select(id_column, text), mapping, text)
     hit = exact.where("translation is not null").select(id_column, "translation", F.lit("exact").alias("how"))
     miss = exact.where("translation is null").select(id_column, text)

@@ -20,6 +20,12 @@ def latest_segments(segments: DataFrame, columns: list[str] | None = None) -> Da
     return segments.groupBy("doc_id", "segment_id").agg(best).select(*[F.col(f"s.{n}").alias(n) for n in names])
 
 
+def latest_ids(segments: DataFrame) -> DataFrame:
+    """doc_id, segment_id, row_id of the rows that ``latest_segments`` keeps."""
+    best = F.max(F.struct("loaded_at", "row_id")).alias("s")
+    return segments.groupBy("doc_id", "segment_id").agg(best).select("doc_id", "segment_id", "s.row_id")
+
+
 def completed_ids(checkpoints: DataFrame) -> DataFrame:
     """doc_id, segment_id of every completed segment of any run."""
     return checkpoints.select("doc_id", F.explode("completed_segments").alias("segment_id")).where("segment_id is not null").distinct()

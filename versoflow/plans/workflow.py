@@ -211,7 +211,10 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     """Originals in the log of blocked segments with the most similar text that has a translation."""
     rows = read(spark, d, "blocked_log").where("doc_id is not null and segment_id is not null")
     blocks = rows.select((F.col("doc_id") * 1000003 + F.col("segment_id")).alias("block_id"), F.col("original_text").alias("text")).distinct()
-    return matching.fuzzy_match(blocks, _map(spark, d), "block_id").select("block_id", F.md5("key").alias("md5"), F.round("score", 6).alias("score"))
+    segments = read(spark, d, "segments")
+    # of equal texts the earliest wins as well without a table of distinct keys, so no text of the segments is shuffled
+    matched = matching.fuzzy_match(blocks, matching.entries(segments), "block_id", live=status.latest_ids(segments))
+    return matched.select("block_id", F.md5("key").alias("md5"), F.round("score", 6).alias("score"))
 
 
 _SIM = """CASE WHEN (length(a) < 50 OR length(key) < 50) AND CASE WHEN length(a) <= length(key) THEN contains(key, a) ELSE contains(a, key) END
