@@ -518,6 +518,19 @@ def test_subjects(spark):
     assert subjects.found(df.where("false"), labelled, names).count() == 0
 
 
+def test_glossary_seed_has_all_words_of_long_entries(spark, monkeypatch):
+    from versoflow.llm import alignment
+
+    term, translation = " ".join(f"quay{'abcdefghijkl'[k]}" for k in range(12)), " ".join(f"kai{'abcdefghij'[k]}" for k in range(10))
+    rows = [(term, translation, "en", "de"), ("storks", "Störche", "en", "de"), (term, translation, "en", "de"), ("...", "x", "en", "de"), (None, "x", "en", "de"), ("a", "b", "xx", "de")]
+    glossary = spark.createDataFrame(rows, "term string, translation string, source_lang string, target_lang string")
+    got = [tuple(r) for r in alignment.glossary_seed(glossary, ["de", "en"]).collect()]
+    assert len(got) == len(set(got)) == 12 * 10 + 1
+    assert len({s for s, _ in got}) == 13 and len({t for _, t in got}) == 11
+    monkeypatch.setattr(alignment, "WORD_PAIRS", 7)  # made in parts
+    assert {tuple(r) for r in alignment.glossary_seed(glossary, ["de", "en"]).collect()} == set(got)
+
+
 # --- queries -----------------------------------------------------------------------------------------------------
 
 
