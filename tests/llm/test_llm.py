@@ -441,6 +441,40 @@ def test_crowded_words_are_matched_near_the_diagonal():
     assert linked(refrain, refrain) == [(k, k) for k in range(200)]
 
 
+def test_words_are_looked_up_once_a_row_and_weighed_as_by_hand(monkeypatch):
+    rng = random.Random(8)
+    pairs = [(f"o{a}", f"t{b}") for a in range(30) for b in rng.sample(range(30), 3)]
+    o, t = ([["the", *(f"{name}{k}" for k in rng.sample(range(30), 4))] for _ in range(n)] for name, n in (("o", 90), ("t", 80)))
+    original, translated = side(0, 1, o), side(1, 0, t)
+    explains = {*pairs, ("the", "the")}
+    of = {x: alignment.IDENTITY if x == ("the", "the") else float(np.float32(0.4)) for x in explains}
+    every = [np.ones(n, dtype=bool) for n in (90, 80)]
+
+    def by_hand(i, j):
+        sums_ = []
+        for mine, value in ((o[i], lambda w: [of[w, x] for x in t[j] if (w, x) in explains]), (t[j], lambda w: [of[x, w] for x in o[i] if (x, w) in explains])):
+            sums_.append(sum(min(1.0, sum(value(w))) for w in mine) / len(mine))
+        return sums_
+
+    seen = []
+    for slots in (alignment.MANY_SLOTS, 0):  # held in place, and sorted
+        monkeypatch.setattr(alignment, "MANY_SLOTS", slots)
+        finder = alignment.Finder(original, translated, table_of(pairs, 0.4))
+        assert len(finder.matches[0]) == len(explains)  # not once for each of the sentences that have the word
+        near = finder.weighed(finder.near_diagonal(*every, -1, alignment.BANDS[0]))
+        far = finder.weighed(finder.anywhere(*every))
+        for found, is_near in ((near, True), (far, False)):
+            for i, j, f_o, f_t in zip(*(x.tolist() for x in found)):
+                assert (abs(j - finder.near[i]) <= alignment.BANDS[0]) == is_near
+                assert by_hand(i, j) == pytest.approx([f_o, f_t])
+        # the bound leaves out no pair that can be linked or joined
+        sure = {(i, j, a, b) for i, j, a, b in zip(*(x.tolist() for x in far)) if 2 * a * b >= alignment.GAP * (a + b) or a >= alignment.JOIN or b >= alignment.DIVIDED}
+        bounded = set(zip(*(x.tolist() for x in finder.weighed(finder.anywhere(*every), bounded=True))))
+        assert sure and sure <= bounded <= set(zip(*(x.tolist() for x in far)))
+        seen.append([x.tolist() for found in (near, far) for x in found])
+    assert seen[0] == seen[1] and len(seen[0][0]) > 700 and len(seen[0][4]) > 4000
+
+
 def test_unlinked_sentences_between_linked_neighbours():
     o = [["anna", "1"], ["unheard"], ["berta", "2"]]
     t = [["anna", "1"], ["nievernommen"], ["berta", "2"]]
